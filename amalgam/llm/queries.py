@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from amalgam.llm import langid, packing, warc_merge
+from amalgam.llm import cminhash, langid, packing, warc_merge
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +44,33 @@ def op8_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
 
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return cminhash.near_duplicate_groups(_documents(spark, sf_dir))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+ ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE shared >= 0.5 * (na.n + nb.n - shared)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.other = u.a),
+g AS (SELECT doc_id, min(other) AS group_id FROM r GROUP BY doc_id)
+SELECT doc_id, group_id, group_id = doc_id AS keep FROM g
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index_merge": op1_warc_index_merge,
     "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
     "op8_ffd_packing": op8_ffd_packing,
+    "op9_circulant_minhash": op9_circulant_minhash,
 }
 
-ORACLES: dict[str, str] = {"op1_warc_index_merge": OP1_SQL}
+ORACLES: dict[str, str] = {
+    "op1_warc_index_merge": OP1_SQL,
+    "op9_circulant_minhash": OP9_SQL,
+}
