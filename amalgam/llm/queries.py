@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from amalgam.llm import cminhash, langid, packing, warc_merge
+from amalgam.llm import cminhash, langid, packing, toxicity, warc_merge
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +63,18 @@ SELECT doc_id, group_id, group_id = doc_id AS keep FROM g
 """
 
 
+def op10_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a network fitted on labelled ones."""
+    docs = _documents(spark, sf_dir)
+    return toxicity.score_documents(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index_merge": op1_warc_index_merge,
     "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
     "op8_ffd_packing": op8_ffd_packing,
     "op9_circulant_minhash": op9_circulant_minhash,
+    "op10_bigru_toxicity": op10_bigru_toxicity,
 }
 
 ORACLES: dict[str, str] = {
