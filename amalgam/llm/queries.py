@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from amalgam.llm import cminhash, langid, packing, toxicity, warc_merge
+from amalgam.llm import cminhash, langid, packing, suffix_tree, toxicity, warc_merge
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,23 @@ FROM c WINDOW h AS (PARTITION BY url_key ORDER BY captured_at, page_id, digest)
 """
 
 
+def op2_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated passages of all documents."""
+    return suffix_tree.repeated_passages(_documents(spark, sf_dir))
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(0, len(w) - 49)) AS pos, w FROM w WHERE len(w) >= 50),
+h AS (SELECT doc_id, pos, md5(array_to_string(w[pos + 1:pos + 50], ' ')) AS h FROM s),
+n AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY h) AS n, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS k FROM h),
+f AS (SELECT doc_id, 'repeat' AS kind, pos FROM n WHERE n > 1 UNION ALL SELECT doc_id, 'cut', pos FROM n WHERE k > 1),
+i AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id, kind ORDER BY pos) + 50 THEN 0 ELSE 1 END AS new FROM f),
+j AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS island FROM i)
+SELECT doc_id, kind, min(pos) AS word_start, max(pos) + 50 AS word_end, max(pos) + 50 - min(pos) AS n_words FROM j GROUP BY doc_id, kind, island
+"""
+
+
 def op4_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by profiles of all documents that have a language."""
     docs = _documents(spark, sf_dir)
@@ -71,6 +88,7 @@ def op10_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index_merge": op1_warc_index_merge,
+    "op2_suffix_tree_repeats": op2_suffix_tree_repeats,
     "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
     "op8_ffd_packing": op8_ffd_packing,
     "op9_circulant_minhash": op9_circulant_minhash,
@@ -79,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_warc_index_merge": OP1_SQL,
+    "op2_suffix_tree_repeats": OP2_SQL,
     "op9_circulant_minhash": OP9_SQL,
 }
