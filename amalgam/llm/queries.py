@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from amalgam.llm import cminhash, langid, packing, suffix_tree, toxicity, warc_merge
+from amalgam.llm import cminhash, flow_mix, langid, packing, suffix_tree, toxicity, url_rules, warc_merge
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +50,22 @@ SELECT doc_id, kind, min(pos) AS word_start, max(pos) + 50 AS word_end, max(pos)
 """
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with the rule that blocks them, by rules mined from the labelled ones."""
+    return url_rules.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by profiles of all documents that have a language."""
     docs = _documents(spark, sf_dir)
     return langid.identify_languages(docs, langid.train_profiles(docs))
 
 
+def op5_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken for the default weights, from all documents."""
+    return flow_mix.mix(_documents(spark, sf_dir))
+
+
 def op8_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences."""
     return packing.pack_documents(_documents(spark, sf_dir))
@@ -89,7 +99,9 @@ def op10_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index_merge": op1_warc_index_merge,
     "op2_suffix_tree_repeats": op2_suffix_tree_repeats,
+    "op3_url_rules": op3_url_rules,
     "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
+    "op5_flow_mix": op5_flow_mix,
     "op8_ffd_packing": op8_ffd_packing,
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_bigru_toxicity": op10_bigru_toxicity,
