@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from amalgam.llm import cminhash, flow_mix, langid, packing, suffix_tree, toxicity, url_rules, warc_merge
+from amalgam.llm import cminhash, flow_mix, itq, langid, packing, prefix_hash, suffix_tree, toxicity, url_rules, warc_merge
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,38 @@ def op5_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_mix.mix(_documents(spark, sf_dir))
 
 
+def op6_itq_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every embedding."""
+    return itq.near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.9),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, u.b FROM r JOIN u ON r.other = u.a),
+g AS (SELECT vec_id, min(other) AS group_id FROM r GROUP BY vec_id)
+SELECT vec_id, group_id, group_id = vec_id AS keep FROM g
+"""
+
+
+def op7_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint, copies and common extensions of all documents."""
+    return prefix_hash.fingerprint_documents(_documents(spark, sf_dir))
+
+
+OP7_SQL = r"""
+WITH c AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '(?s).'), lambda x: unicode(x)) AS points FROM documents),
+h AS (SELECT doc_id, text, len(points) AS n_chars, CAST(list_reduce(list_reverse(points), lambda a, x: (a * 2251055966835893287 + x + 1) % 2305843009213693951, CAST(0 AS HUGEINT)) AS BIGINT) AS fingerprint, points FROM c),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS copy_of FROM h),
+d AS (SELECT doc_id, points, min(doc_id) OVER (PARTITION BY points[:32]) AS anchor_id FROM f WHERE doc_id = copy_of AND n_chars >= 32),
+p AS (SELECT d.doc_id, d.anchor_id, d.points AS x, o.points AS y FROM d JOIN d o ON d.anchor_id = o.doc_id WHERE d.doc_id <> d.anchor_id),
+l AS (SELECT doc_id, anchor_id, least(len(x), len(y)) AS most, list_position(list_transform(list_zip(x, y, true), lambda z: z[1] = z[2]), false) AS ahead,
+ list_position(list_transform(list_zip(list_reverse(x), list_reverse(y), true), lambda z: z[1] = z[2]), false) AS behind FROM p),
+m AS (SELECT doc_id, anchor_id, most, coalesce(ahead - 1, most) AS common_prefix, coalesce(behind - 1, most) AS suffix FROM l)
+SELECT f.doc_id, n_chars, fingerprint, copy_of, anchor_id, common_prefix, least(suffix, most - common_prefix) AS common_suffix FROM f LEFT JOIN m USING (doc_id)
+"""
+
+
 def op8_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences."""
     return packing.pack_documents(_documents(spark, sf_dir))
@@ -102,6 +134,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_rules": op3_url_rules,
     "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
     "op5_flow_mix": op5_flow_mix,
+    "op6_itq_near_embeddings": op6_itq_near_embeddings,
+    "op7_prefix_fingerprints": op7_prefix_fingerprints,
     "op8_ffd_packing": op8_ffd_packing,
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_bigru_toxicity": op10_bigru_toxicity,
@@ -110,5 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_warc_index_merge": OP1_SQL,
     "op2_suffix_tree_repeats": OP2_SQL,
+    "op6_itq_near_embeddings": OP6_SQL,
+    "op7_prefix_fingerprints": OP7_SQL,
     "op9_circulant_minhash": OP9_SQL,
 }
