@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A join side of at most this many rows of one id is broadcast (about 32 MB as a hash relation); a larger one is shuffled.
@@ -37,22 +37,44 @@ def filter_by_ids(df: DataFrame, ids: DataFrame, key: str, keep: bool) -> DataFr
     return df.join(side, key, "left_semi" if keep else "left_anti")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def latest_by(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row for each ``key``: the one with the highest ``order``, of equals the one with the greatest text form; aggregated, without a sort."""
+    rest = [c for c in df.columns if c != key]
+    row = F.struct(*rest)
+    return df.groupBy(key).agg(F.max_by(row, F.struct(F.col(order), F.to_json(row))).alias("row__")).select(key, *[F.col(f"row__.{c}").alias(c) for c in rest])
+
+
 def one_row_per_id(df: DataFrame, key: str) -> DataFrame:
     """``df`` with one row for each value of ``key``: of repeated rows, the one with the least text form stays.
 
     Rows with a null key all stay. Only the rows of repeated keys are shuffled.
     """
-    from pyspark.sql import Window
-
-    repeated = cut(df.groupBy(key).agg(F.count(F.lit(1)).alias("n__")).filter(F.col("n__") > 1).filter(F.col(key).isNotNull()).select(key))
+    n, rank = unused(df, "n__"), unused(df, "rank__")
+    repeated = cut(df.groupBy(key).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1).filter(F.col(key).isNotNull()).select(key))
     if repeated.isEmpty():
         return df
     rest = filter_by_ids(df, repeated, key, keep=False)
     order = F.to_json(F.struct(*[df[c] for c in df.columns]))
     first = (
         filter_by_ids(df, repeated, key, keep=True)
-        .withColumn("rank__", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-        .filter("rank__ = 1")
-        .drop("rank__")
+        .withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(order)))
+        .filter(F.col(rank) == 1)
+        .drop(rank)
     )
     return rest.unionByName(first)
+
+
+def local_session(cores: str = "*", **conf: str) -> SparkSession:
+    """The active session, or a local one."""
+    builder = SparkSession.builder.appName("amalgam")
+    if SparkSession.getActiveSession() is None:
+        builder = builder.master(f"local[{cores}]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
+    return builder.config(map=conf).getOrCreate() if conf else builder.getOrCreate()
