@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from amalgam.session import cut
 
 #: Least part of labelled URLs, and least number of them, that a rule's tokens occur in together with the label; least confidence.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 5, 0.2
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 5, 0.4
 #: The item that stands for a low-quality label; it can't be a URL token, which all have a letter and a colon first.
 LOW = "#low"
 
