@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from amalgam.llm.words import WordHashes, mix64
-from amalgam.session import cut, filter_by_ids, one_row_per_id
+from amalgam.session import cut, filter_by_ids, one_row_per_id, unused
 
 #: Words of the shortest passage, and of the run that partitions suffixes first.
 MIN_WORDS, SEED_WORDS = 50, 18
@@ -245,19 +245,20 @@ def cut_repeats(docs: DataFrame, **parameters: int) -> DataFrame:
         .agg(F.collect_list("word_start").alias("starts"), F.collect_list("word_end").alias("ends"))
     )
     ids = cut(cuts.select("doc_id"))
+    starts, ends = unused(docs, "starts__"), unused(docs, "ends__")
     whole = filter_by_ids(docs, ids, "doc_id", keep=False)
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch["text"].to_pylist(), batch["starts__"].to_pylist(), batch["ends__"].to_pylist(), strict=True)
+            rows = zip(batch["text"].to_pylist(), batch[starts].to_pylist(), batch[ends].to_pylist(), strict=True)
             texts = [without_words(t, a, b) for t, a, b in rows]
-            out = batch.drop_columns(["starts__", "ends__"])
+            out = batch.drop_columns([starts, ends])
             for name, values in (("text", texts), ("n_chars", [len(t) for t in texts])):
                 if name in out.schema.names:
                     at = out.schema.get_field_index(name)
                     out = out.set_column(at, out.schema.field(at), pa.array(values, out.schema.field(at).type))
             yield out.filter(pa.array([bool(t.strip()) for t in texts], pa.bool_()))
 
-    renamed = cuts.select("doc_id", F.col("starts").alias("starts__"), F.col("ends").alias("ends__"))
-    joined = filter_by_ids(docs, ids, "doc_id", keep=True).join(renamed, "doc_id").select(*docs.columns, "starts__", "ends__")
+    renamed = cuts.select("doc_id", F.col("starts").alias(starts), F.col("ends").alias(ends))
+    joined = filter_by_ids(docs, ids, "doc_id", keep=True).join(renamed, "doc_id").select(*docs.columns, starts, ends)
     return whole.unionByName(joined.mapInArrow(shorten, docs.schema))

@@ -1,0 +1,195 @@
+"""Operators over documents that remove or mark: toxicity, near duplicates, repeats, fingerprints."""
+
+import random
+
+import numpy as np
+import pytest
+
+from amalgam.llm import cminhash, prefix_hash, suffix_tree, toxicity
+from tests.llm import cases
+
+
+def test_minhash_groups_against_brute_force(spark):
+    rng = random.Random(9)
+    texts = [cases.words(rng, 80) for _ in range(40)]
+    for i in range(30):
+        w = texts[i].split()
+        for _ in range(rng.choice([1, 2, 4, 20])):
+            w[rng.randrange(len(w))] = "new" + str(rng.randrange(99))
+        texts.append(" ".join(w))
+    texts += [texts[0], texts[0].upper()]
+    sets = [cases.shingle_set(t) for t in texts]
+    n = len(texts)
+    jaccard = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(n) for b in range(a)}
+    found = {r["doc_id"]: r["group_id"] for r in cminhash.near_duplicate_groups(cases.table(spark, list(enumerate(texts)))).collect()}
+    close = [p for p, j in jaccard.items() if j >= 0.5]
+    assert sum(found[a] == found[b] for a, b in close) >= 0.95 * len(close)
+    exact = cases.groups_of(range(n), close)
+    assert all(exact[a] == exact[b] for a in range(n) for b in range(a) if found[a] == found[b]), "every pair is verified"
+    kept = cminhash.drop_near_duplicates(cases.table(spark, list(enumerate(texts))))
+    assert {r["doc_id"] for r in kept.collect()} == set(found.values())
+
+
+def test_circulant_coordinates():
+    c = cminhash.Circulant(8, 1)
+    x = np.arange(1000, dtype=np.uint64) * np.uint64(7919)
+    y = c.first(x)
+    for k in range(8):
+        assert c.signature(x)[k] == c.second(y + np.uint32(k)).min()
+    z = np.arange(1 << 16, dtype=np.uint32)
+    assert len(np.unique(c.second(z.copy()))) == len(z) == len(np.unique(c.first(z.astype(np.uint64))))
+
+
+def test_minhash_odd_cases(spark):
+    odd = cases.odd(spark)
+    rows = {r["doc_id"]: (r["group_id"], r["keep"]) for r in cminhash.near_duplicate_groups(odd).collect()}
+    assert set(rows) == set(range(1, 11)) and rows[9] == (8, False) and all(rows[i] == (i, True) for i in (1, 2, 3, 4, 5))
+    kept = cminhash.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and kept.count() == 10
+    cases.own_columns_stay(kept)
+    assert cminhash.near_duplicate_groups(cases.empty(spark)).count() == 0 and cminhash.drop_near_duplicates(cases.empty(spark)).count() == 0
+
+
+def brute_repeats(docs, size):
+    seen = {}
+    for doc, text in sorted(docs):
+        w = text.split()
+        for i in range(len(w) - size + 1):
+            seen.setdefault(tuple(w[i : i + size]), []).append((doc, i))
+    covered = {"repeat": set(), "cut": set()}
+    for places in seen.values():
+        if len(places) > 1:
+            for k, (doc, i) in enumerate(places):
+                covered["repeat"] |= {(doc, j) for j in range(i, i + size)}
+                if k:
+                    covered["cut"] |= {(doc, j) for j in range(i, i + size)}
+    return covered
+
+
+@pytest.mark.parametrize("group_rows", [50_000, 3])
+def test_repeats_against_brute_force(spark, group_rows):
+    rng = random.Random(2)
+    shared = [cases.words(rng, 14) for _ in range(6)]
+    docs = []
+    for i in range(30):
+        parts = [cases.words(rng, rng.randrange(1, 30)) for _ in range(3)]
+        for _ in range(rng.randrange(3)):
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(shared))
+        docs.append((i, " ".join(parts)))
+    docs += [(100, "x " * 40), (101, docs[0][1]), (102, docs[0][1])]
+    found = {"repeat": set(), "cut": set()}
+    for r in suffix_tree.repeated_passages(cases.table(spark, docs), min_words=10, seed_words=4, group_rows=group_rows).collect():
+        assert r["n_words"] == r["word_end"] - r["word_start"] >= 10
+        found[r["kind"]] |= {(r["doc_id"], j) for j in range(r["word_start"], r["word_end"])}
+    assert found == brute_repeats(docs, 10)
+
+
+def test_cut_leaves_each_passage_once(spark):
+    rng = random.Random(3)
+    passage = cases.words(rng, 60)
+    docs = [(i, f"{cases.words(rng, 20)} {passage} {cases.words(rng, 20)}") for i in range(4)] + [(9, passage), (10, cases.words(rng, 80))]
+    out = {r["doc_id"]: r for r in suffix_tree.cut_repeats(cases.table(spark, docs)).collect()}
+    assert sum(passage in r["text"] for r in out.values()) == 1 and 9 not in out and out[10]["text"] == docs[-1][1]
+    assert all(r["n_chars"] == len(r["text"]) for r in out.values()) and out[1]["text"].count(" ") >= 38
+    assert suffix_tree.repeated_passages(cases.table(spark, [(i, r["text"]) for i, r in out.items()])).count() == 0
+
+
+def test_repeats_odd_cases(spark):
+    odd = cases.odd(spark)
+    kept = suffix_tree.cut_repeats(odd)
+    assert kept.columns == odd.columns and kept.count() == 11
+    cases.own_columns_stay(kept)
+    assert suffix_tree.repeated_passages(cases.empty(spark)).count() == 0 and suffix_tree.cut_repeats(cases.empty(spark)).count() == 0
+
+
+def brute_prefix(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def test_prefix_hashes():
+    rng, powers = random.Random(7), prefix_hash.Powers()
+    for _ in range(100):
+        a = "".join(rng.choice("ab\x00é😀") for _ in range(rng.randrange(60)))
+        b = a[: rng.randrange(len(a) + 1)] + rng.choice(["", "z", "b"]) + a[rng.randrange(len(a) + 1) :]
+        x, y = prefix_hash.PrefixHashes(a, powers), prefix_hash.PrefixHashes(b, powers)
+        want = 0
+        for c in reversed(a):
+            want = (want * prefix_hash.BASE + ord(c) + 1) % prefix_hash.MODULUS
+        assert x.fingerprint() == want
+        i, j, n = rng.randrange(len(a) + 1), rng.randrange(len(b) + 1), rng.randrange(8)
+        assert prefix_hash.common_extension(x, i, y, j) == brute_prefix(a[i:], b[j:])
+        assert prefix_hash.common_extension_back(x, i, y, j) == brute_prefix(a[:i][::-1], b[:j][::-1])
+        assert prefix_hash.spans_equal(x, i, y, j, n) == (i + n <= len(a) and j + n <= len(b) and a[i : i + n] == b[j : j + n])
+
+
+def test_fingerprints(spark):
+    head = "the same beginning of every document here "
+    docs = [(3, head + "a long tail"), (5, head + "b long tail"), (6, head), (7, head + "a long tail"), (8, "short"), (9, "short")]
+    rows = {r["doc_id"]: r for r in prefix_hash.fingerprint_documents(cases.table(spark, docs)).collect()}
+    assert rows[7]["copy_of"] == 3 and rows[9]["copy_of"] == 8 and rows[3]["anchor_id"] is None and rows[7]["anchor_id"] is None
+    assert (rows[5]["anchor_id"], rows[5]["common_prefix"], rows[5]["common_suffix"]) == (3, len(head), len(" long tail"))
+    assert (rows[6]["common_prefix"], rows[6]["common_suffix"]) == (len(head), 0)
+
+
+def test_fingerprints_odd_cases(spark):
+    rows = {r["doc_id"]: r for r in prefix_hash.fingerprint_documents(cases.odd(spark)).collect()}
+    assert set(rows) == set(range(1, 11)) and rows[1]["fingerprint"] is None and rows[1]["copy_of"] is None
+    assert (rows[2]["n_chars"], rows[2]["fingerprint"]) == (0, 0) and rows[9]["copy_of"] == 8
+    assert prefix_hash.fingerprint_documents(cases.empty(spark)).count() == 0
+
+
+def toxic_corpus(n, seed):
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        w, bad = cases.words(rng, rng.randrange(10, 150)).split(), rng.random() < 0.3
+        if bad:
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), rng.choice(["vilezz", "scumqo", "hatexx"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    return rows, labels
+
+
+def test_toxicity_on_held_out_documents(spark):
+    rows, labels = toxic_corpus(400, 1)
+    model = toxicity.train(cases.table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    fresh, truth = toxic_corpus(200, 2)
+    marks = {r["doc_id"]: r["toxic"] for r in toxicity.score_documents(cases.table(spark, fresh), model).collect()}
+    assert np.mean([marks[i] == bool(t) for i, _, t in truth]) >= 0.95
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(cases.table(spark, fresh), model).collect()}
+    assert kept == {i for i, bad in marks.items() if not bad}
+    odd = cases.odd(spark)
+    scored = toxicity.score_documents(odd, model)
+    assert scored.count() == odd.count() and {r["n_windows"] for r in scored.filter("doc_id in (1, 2, 3, 4)").collect()} == {0}
+    assert toxicity.drop_toxic(odd, model).columns == odd.columns
+    cases.own_columns_stay(toxicity.drop_toxic(odd, model))
+    assert toxicity.score_documents(cases.empty(spark), model).count() == 0
+    assert toxicity.train(cases.table(spark, rows), spark.createDataFrame([], "doc_id long, quality int, toxic int")) is None
+    assert toxicity.drop_toxic(odd, None).count() == odd.count()
+
+
+def test_windows_cover_every_word_and_a_late_one_is_found(spark):
+    for n in (1, 31, 32, 33, 56, 57, 1000):
+        starts = toxicity.window_starts(n)
+        assert set().union(*(range(s, min(n, s + toxicity.WINDOW)) for s in starts)) == set(range(n))
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    w = {k: v.astype(np.float64) for k, v in toxicity._initial(5, rng).items()}
+    vocab, counts = np.array([1, 2, 3, 0]), np.array([2, 1, 3, 2])
+    trigrams, y = rng.integers(0, toxicity.TRIGRAMS, counts.sum()), np.array([1.0, 0.0])
+    index = np.array([[0, 1, 2, 3, 1], [2, 0, -1, -1, -1]])
+    _, g = toxicity.gradients(w, vocab, trigrams, counts, index, y)
+    for name in ("words", "in_f", "rec_b", "bias_f", "attend", "query", "out"):
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        step, losses = 1e-4, []
+        for sign in (1, -1):
+            w[name][at] += sign * step
+            losses.append(toxicity.gradients(w, vocab, trigrams, counts, index, y)[0])
+            w[name][at] -= sign * step
+        assert (losses[0] - losses[1]) / (2 * step) == pytest.approx(g[name][at], rel=0.05), name
