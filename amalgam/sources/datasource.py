@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from amalgam.schema import PARSED, struct_type
+from amalgam.schema import PARSED
 from amalgam.sources import parsers
 
 
@@ -47,8 +47,8 @@ class Bibliography(DataSource):
     def name(cls) -> str:
         return "bibliography"
 
-    def schema(self):  # noqa: ANN201
-        return struct_type(PARSED)
+    def schema(self) -> str:
+        return PARSED
 
     def reader(self, schema) -> _Reader:  # noqa: ANN001
         return _Reader(dict(self.options))

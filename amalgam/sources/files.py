@@ -24,7 +24,7 @@ def iso_now() -> str:
 def bibliographic_files(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None, streaming: bool = False) -> DataFrame:
     """path, modificationTime, length and content of the files with a known extension; ``pattern`` is a glob for names."""
     known = "*.{" + ",".join(x[1:] for x in parsers.EXTENSIONS) + "," + ",".join(x[1:].upper() for x in parsers.EXTENSIONS) + "}"
-    reader = (spark.readStream if streaming else spark.read).format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern or known)
+    reader = (spark.readStream if streaming else spark.read).schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern or known)
     files = reader.load(path)
     return files.filter(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*parsers.EXTENSIONS))
 
