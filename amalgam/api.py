@@ -17,9 +17,9 @@ __all__ = ["ParseError", "dedupe", "parse_file", "parse_folder", "write_jsonl"]
 class ParseError(Exception):
     """A file that can't be parsed, or a run that failed; ``file`` is its path where there is one."""
 
-    def __init__(self, message: str, file: str | None = None) -> None:
-        super().__init__(message)
-        self.file = file
+    def __init__(self, what: str, path: str | None = None) -> None:
+        super().__init__(what)
+        self.file = path
 
 
 def _raise_errors(files: DataFrame) -> None:
@@ -28,7 +28,7 @@ def _raise_errors(files: DataFrame) -> None:
         raise ParseError("; ".join(f"{r['filename']}: {', '.join(r['errors'])}" for r in failed), failed[0]["filepath"])
 
 
-def parse_file(path: str | Path, *, strict: bool = True, spark: SparkSession | None = None) -> DataFrame:
+def parse_file(path: str | Path, *, spark: SparkSession | None = None, strict: bool = True) -> DataFrame:
     """The records of a file, not normalized. ``strict``: errors in the file raise :class:`ParseError`."""
     if not Path(path).exists():
         raise FileNotFoundError(f"no such file: {path}")
@@ -47,7 +47,7 @@ def _extensions() -> dict[str, str]:
     return EXTENSIONS
 
 
-def parse_folder(path: str | Path, *, pattern: str | None = None, recursive: bool = False, strict: bool = False, spark: SparkSession | None = None) -> DataFrame:
+def parse_folder(path: str | Path, *, recursive: bool = False, spark: SparkSession | None = None, strict: bool = False, pattern: str | None = None) -> DataFrame:
     """The records of all known files in a folder, not normalized."""
     if not Path(path).exists():
         raise FileNotFoundError(f"no such folder: {path}")
@@ -59,11 +59,11 @@ def parse_folder(path: str | Path, *, pattern: str | None = None, recursive: boo
     return parse_files(files)
 
 
-def dedupe(input_path: str | Path, *, output_dir: str | Path = "out", fpr_alpha: float = 0.01, t_low: float = 0.3, t_high: float | None = None, spark: SparkSession | None = None) -> PipelineResult:
+def dedupe(input_path: str | Path, *, t_high: float | None = None, output_dir: str | Path = "out", t_low: float = 0.3, spark: SparkSession | None = None, fpr_alpha: float = 0.01) -> PipelineResult:
     """All stages over files; a failed run raises :class:`ParseError`."""
     if not Path(input_path).exists():
         raise FileNotFoundError(f"no such input: {input_path}")
-    result = run_pipeline(input_path, PipelineConfig(fpr_alpha=fpr_alpha, t_low=t_low, t_high=t_high, output_dir=output_dir), spark=spark)
+    result = run_pipeline(input_path, PipelineConfig(output_dir, t_high=t_high, fpr_alpha=fpr_alpha, t_low=t_low), spark=spark)
     if not result.success:
         raise ParseError(f"deduplication failed: {result.error_message}")
     return result

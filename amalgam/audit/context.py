@@ -12,8 +12,9 @@ import traceback
 from datetime import datetime
 from pathlib import Path
 
-from amalgam.audit.log import AuditLogger, iso_now
+from amalgam.audit.log import AuditLogger
 from amalgam.audit.manifest import ManifestWriter
+from amalgam.clock import iso_now
 
 VERSION = "0.1.0"
 
@@ -24,16 +25,16 @@ def run_id() -> str:
 
 
 def parse_iso(text: str) -> datetime:
-    return datetime.fromisoformat(text.replace("Z", "+00:00"))
+    return datetime.fromisoformat(text)
 
 
 def git_sha() -> str | None:
     """The first seven digits of the current commit, or None outside of a repository."""
     try:
-        done = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=True, timeout=5)
+        out = subprocess.check_output(["git", "rev-parse", "--short=7", "HEAD"], text=True, stderr=subprocess.DEVNULL, timeout=10)
     except (OSError, subprocess.SubprocessError):
         return None
-    return done.stdout.strip()[:7] or None
+    return out.strip() or None
 
 
 def versions(packages: tuple[str, ...]) -> dict[str, str]:
@@ -68,25 +69,24 @@ class RunContext:
     def start_stage(self, name: str, expected_records: int | None = None) -> None:
         self._stages[name] = time.monotonic()
         self.manifest.add_stage(name)
-        self.logger.stage_started(name, expected_records)
+        self.logger.stage_started(expected_records, stage=name)
 
-    def finish_stage(self, name: str, counters: dict[str, int] | None = None) -> None:
+    def finish_stage(self, name: str, counts: dict | None = None) -> None:
         if name not in self._stages:
             raise ValueError(f"stage not started: {name}")
         seconds = time.monotonic() - self._stages.pop(name)
-        self.manifest.finish_stage(name, duration_seconds=seconds)
-        if counters:
-            self.manifest.update_stage_counters(name, counters)
-        self.logger.stage_finished(name, seconds, counters)
+        self.manifest.finish_stage(name, seconds)
+        self.manifest.update_stage_counters(name, counts or {})
+        self.logger.stage_finished(seconds, counts or None, stage=name)
 
-    def record_error(self, exception: BaseException, stage: str | None = None, rid: str | None = None, include_traceback: bool = False) -> None:
+    def record_error(self, exception: BaseException, *, include_traceback: bool = False, rid: str | None = None, stage: str | None = None) -> None:
         text = "".join(traceback.format_exception(exception)) if include_traceback else None
-        self.manifest.add_error(exception, stage, text, rid)
-        self.logger.error(type(exception).__name__, str(exception), stage, rid, text)
+        self.manifest.add_error(exception, stage=stage, traceback=text, rid=rid)
+        self.logger.error(type(exception).__name__, str(exception), traceback=text, stage=stage, rid=rid)
 
-    def finish(self, status: str = "success", records_processed: int | None = None) -> None:
+    def finish(self, status: str = "success", n_records: int | None = None) -> None:
         seconds = time.monotonic() - self._began
-        self.logger.run_finished(status, seconds, records_processed)
+        self.logger.run_finished(status, seconds, n_records)
         self.logger.close()
         self.manifest.compute_output_artifacts()
         self.manifest.finish(status, seconds)

@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import json
-from datetime import UTC, datetime
 from pathlib import Path
 
+from amalgam.clock import iso_now
 
-def iso_now() -> str:
-    return datetime.now(UTC).isoformat().replace("+00:00", "Z")
+#: Kinds of events: their data in order, needed ones first, those that may be left out with a question mark.
+KINDS = {
+    "run_started": "command parameters",
+    "run_finished": "status duration_seconds records_processed?",
+    "stage_started": "expected_records?",
+    "stage_finished": "duration_seconds counters?",
+    "record_flagged": "flag_name reason_code",
+    "artifact_written": "path sha256 bytes? record_count?",
+    "error": "exception_class message traceback? rid?",
+}
 
 
 class AuditLogger:
-    """Appends events to a file; a context manager."""
+    """Appends events to a file; a context manager. Besides ``event`` it has a method for each of ``KINDS``."""
 
     def __init__(self, run_id: str, log_path: str | Path) -> None:
         self.run_id, self.path, self.stage = run_id, Path(log_path), None
         self.path.parent.mkdir(parents=True, exist_ok=True)
-        self._out = self.path.open("a", encoding="utf-8")
+        self._out = self.path.open("ab")
 
     def __enter__(self) -> AuditLogger:
         return self
@@ -26,39 +34,31 @@ class AuditLogger:
         self.close()
 
     def close(self) -> None:
-        if not self._out.closed:
-            self._out.close()
+        self._out.close()
 
-    def set_stage(self, stage: str | None) -> None:
-        self.stage = stage
-
-    def event(self, event: str, data: dict | None = None, level: str = "INFO", stage: str | None = None, rid: str | None = None) -> None:
+    def event(self, event: str, data: dict | None = None, *, level: str = "INFO", rid: str | None = None, stage: str | None = None) -> None:
         row = {"ts": iso_now(), "run_id": self.run_id, "level": level, "event": event, "data": data or {}, "stage": stage or self.stage, "rid": rid}
-        self._out.write(json.dumps(row, ensure_ascii=False, separators=(",", ":")) + "\n")
+        self._out.write(f"{json.dumps(row, separators=(',', ':'), ensure_ascii=False)}\n".encode())
         self._out.flush()
 
-    def run_started(self, command: list[str], parameters: dict) -> None:
-        self.event("run_started", {"command": command, "parameters": parameters})
-
-    def run_finished(self, status: str, duration_seconds: float, records_processed: int | None = None) -> None:
-        self.event("run_finished", _known(status=status, duration_seconds=duration_seconds, records_processed=records_processed))
-
-    def stage_started(self, stage: str, expected_records: int | None = None) -> None:
-        self.set_stage(stage)
-        self.event("stage_started", _known(expected_records=expected_records), stage=stage)
-
-    def stage_finished(self, stage: str, duration_seconds: float, counters: dict[str, int] | None = None) -> None:
-        self.event("stage_finished", _known(duration_seconds=duration_seconds, counters=counters or None), stage=stage)
 
-    def record_flagged(self, rid: str, flag_name: str, reason_code: str, stage: str | None = None) -> None:
-        self.event("record_flagged", {"flag_name": flag_name, "reason_code": reason_code}, stage=stage, rid=rid)
+def _method(kind: str, fields: str):  # noqa: ANN202
+    names = [f.rstrip("?") for f in fields.split()]
+    needed = [f for f in fields.split() if not f.endswith("?")]
 
-    def artifact_written(self, path: str, sha256: str, stage: str | None = None, bytes_written: int | None = None, record_count: int | None = None) -> None:
-        self.event("artifact_written", _known(path=path, sha256=sha256, bytes=bytes_written, record_count=record_count), stage=stage)
+    def emit(self: AuditLogger, *values: object, rid: str | None = None, stage: str | None = None, **more: object) -> None:
+        data = dict(zip(names, values, strict=False)) | more
+        if kind == "error" and rid:
+            data["rid"] = rid
+        if set(data) - set(names) or set(needed) - set(data):
+            raise TypeError(f"{kind} takes {fields}")
+        if kind == "stage_started":
+            self.stage = stage
+        self.event(kind, {k: v for k, v in data.items() if v is not None}, stage=stage, rid=rid, level="ERROR" if kind == "error" else "INFO")
 
-    def error(self, exception_class: str, message: str, stage: str | None = None, rid: str | None = None, traceback: str | None = None) -> None:
-        self.event("error", _known(exception_class=exception_class, message=message, traceback=traceback, rid=rid), "ERROR", stage, rid)
+    emit.__name__, emit.__doc__ = kind, f"An event with {fields}."
+    return emit
 
 
-def _known(**values: object) -> dict:
-    return {k: v for k, v in values.items() if v is not None}
+for _kind, _fields in KINDS.items():
+    setattr(AuditLogger, _kind, _method(_kind, _fields))

@@ -7,7 +7,7 @@ import json
 import os
 from pathlib import Path
 
-from amalgam.audit.log import iso_now
+from amalgam.clock import iso_now
 
 MANIFEST_VERSION = "1.0.0"
 
@@ -25,8 +25,8 @@ class ManifestWriter:
         self.path = self.output_dir / "run.json"
         self.data: dict = {
             "manifest_version": MANIFEST_VERSION, "run_id": run_id, "created_at": iso_now(), "status": "partial", "transform_version": transform_version,
-            "command": command, "environment": environment, "inputs": {"root": "", "files": [], "total_records_extracted": 0}, "parameters": parameters,
-            "stages": [], "outputs": {"artifacts": []}, "finished_at": None, "duration_seconds": None, "errors": [],
+            "command": command, "environment": environment, "parameters": parameters, "inputs": dict(root="", total_records_extracted=0, files=[]),
+            "stages": [], "errors": [], "outputs": dict(artifacts=[]), "finished_at": None, "duration_seconds": None,
         }
 
     def _stage(self, name: str) -> dict:
@@ -41,16 +41,16 @@ class ManifestWriter:
     def add_stage(self, name: str, started_at: str | None = None) -> None:
         self.data["stages"].append({"name": name, "started_at": started_at or iso_now(), "finished_at": None, "duration_seconds": None, "counters": {}})
 
-    def update_stage_counters(self, name: str, counters: dict[str, int]) -> None:
-        self._stage(name)["counters"].update(counters)
+    def update_stage_counters(self, name: str, counts: dict) -> None:
+        self._stage(name)["counters"] |= counts
 
-    def finish_stage(self, name: str, finished_at: str | None = None, duration_seconds: float | None = None) -> None:
-        self._stage(name).update(finished_at=finished_at or iso_now(), duration_seconds=duration_seconds)
+    def finish_stage(self, name: str, seconds: float | None = None, at: str | None = None) -> None:
+        self._stage(name).update(finished_at=at or iso_now(), duration_seconds=seconds)
 
     def add_output_artifact(self, path: str, sha256: str, size: int | None = None, records: int | None = None) -> None:
         self.data["outputs"]["artifacts"].append({"path": path, "sha256": sha256, "bytes": size, "record_count": records})
 
-    def add_error(self, exception: BaseException, stage: str | None = None, traceback: str | None = None, rid: str | None = None) -> None:
+    def add_error(self, exception: BaseException, *, rid: str | None = None, stage: str | None = None, traceback: str | None = None) -> None:
         self.data["errors"].append({"timestamp": iso_now(), "exception_class": type(exception).__name__, "message": str(exception), "stage": stage, "traceback": traceback, "rid": rid})
 
     def compute_output_artifacts(self) -> None:
@@ -65,8 +65,8 @@ class ManifestWriter:
     def finish(self, status: str, duration_seconds: float | None = None) -> None:
         self.data.update(status=status, finished_at=iso_now(), duration_seconds=duration_seconds)
         part = self.path.with_suffix(".part")
-        with part.open("w", encoding="utf-8") as f:
-            f.write(json.dumps(self.data, indent=2, ensure_ascii=False) + "\n")
-            f.flush()
-            os.fsync(f.fileno())
+        with part.open("wb") as out:
+            out.write(json.dumps(self.data, indent=2, ensure_ascii=False).encode())
+            out.flush()
+            os.fsync(out)
         part.replace(self.path)

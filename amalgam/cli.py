@@ -23,8 +23,8 @@ def _parser() -> argparse.ArgumentParser:
     dedup = commands.add_parser("deduplicate", help="files to merged records")
     dedup.add_argument("input_path")
     dedup.add_argument("-o", "--output-dir", default="out")
-    dedup.add_argument("--fpr-alpha", type=float, default=0.01)
-    dedup.add_argument("--t-low", type=float, default=0.3)
+    dedup.add_argument("--fpr-alpha", default=0.01, type=float)
+    dedup.add_argument("--t-low", default=0.3, type=float)
     dedup.add_argument("--t-high", type=float)
     dedup.add_argument("--blockers", default=",".join(DEFAULT_BLOCKERS))
     dedup.add_argument("--calibration", help="labelled pairs (JSON lines) from which t-high is computed at fpr-alpha")
@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
             write_jsonl(records, a.output, "rid", single=True)
             print(f"wrote {records.count()} records to {a.output}")
             return 0
-        config = PipelineConfig(a.fpr_alpha, a.t_low, a.t_high, [b.strip() for b in a.blockers.split(",")], output_dir=a.output_dir, calibration=a.calibration, single_files=a.single_files)
+        config = PipelineConfig(a.output_dir, [b.strip() for b in a.blockers.split(",")], a.t_high, a.single_files, a.t_low, a.calibration, a.fpr_alpha)
         result = run_pipeline(a.input_path, config)
         if not result.success:
             raise RuntimeError(result.error_message)

@@ -33,8 +33,8 @@ TAGS: dict[str, dict[str, str]] = {
 #: Formats whose names without a comma have the family last.
 FAMILY_LAST = ("bibtex", "wos", "endnote_tagged")
 
-_SUFFIX = r"(?i)\s+(Jr\.?|Sr\.?|II|III|IV|V)$"
-_INITIALS = r"^[A-Z]\.?(\s*[A-Z]\.?)*$"
+_SUFFIX = r"(?i)\s+([JS]r\.?|I{2,3}|I?V)$"
+_INITIALS = r"^[A-Z](?:\.?\s*[A-Z])*\.?$"
 _DASH = r"\s*[–—]\s*"
 
 
@@ -87,7 +87,7 @@ def doi(value: Column) -> Column:
 
 
 def doi_in_url(value: Column) -> Column:
-    return X.or_null(F.regexp_extract(value, r"(?:doi\.org|dx\.doi\.org)/([^\s?#]+)", 1))
+    return X.or_null(F.regexp_extract(value, r"doi\.org/([^?#\s]+)", 1))
 
 
 def year(value: Column) -> Column:

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from amalgam.functions import text as X
 
 MIN_TOKEN = 3
-_ERRATUM_TYPES = ("erratum", "published erratum", "correction", "corrigendum", "addendum")
-_RETRACTION_TYPES = ("retraction of publication", "retraction", "retracted publication", "withdrawal")
-_CORRECTED_TYPES = ("corrected and republished article", "corrected and republished")
-_ERRATUM = r"(?iU)\b(erratum|corrigendum|correction|errata|addendum)\b"
-_RETRACTION = r"(?iU)\b(retraction|retracted|withdrawal)\b"
+#: Publication types, whole and in lower case, and words of titles that mark notices.
+_ERRATUM_TYPE, _ERRATUM = r"^(addendum|correction|corrigendum|(published )?erratum)$", r"(?iU)\b(addendum|correction|corrigendum|erratum|errata)\b"
+_RETRACTION_TYPE, _RETRACTION = r"^(withdrawal|retracted publication|retraction( of publication)?)$", r"(?iU)\b(withdrawal|retract(ed|ion))\b"
+_CORRECTED_TYPE = r"^corrected and republished( article)?$"
 
 
 def long_tokens(text: Column) -> Column:
@@ -57,8 +56,8 @@ def is_truncated(title: Column) -> Column:
     return F.coalesce(title.contains("...") | title.endswith("…") | F.lower(title).contains("[truncated]"), F.lit(False))
 
 
-def _has_type(types: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(F.arrays_overlap(F.transform(types, F.lower), F.array(*map(F.lit, names))), F.lit(False))
+def _has_type(types: Column, pattern: str) -> Column:
+    return F.coalesce(F.exists(types, lambda t: F.lower(t).rlike(pattern)), F.lit(False))
 
 
 def quality_flags(doi: Column, pmid: Column, title: Column, authors: Column, year: Column, pages_unreliable: Column, types: Column) -> Column:
@@ -74,9 +73,9 @@ def quality_flags(doi: Column, pmid: Column, title: Column, authors: Column, yea
         F.coalesce((n > 0) & (nameless > F.floor(n / 2)), F.lit(False)).alias("authors_incomplete"),
         year.isNull().alias("year_missing"),
         F.coalesce(pages_unreliable, F.lit(False)).alias("pages_unreliable"),
-        (_has_type(types, _ERRATUM_TYPES) | says(_ERRATUM)).alias("is_erratum_notice"),
-        (_has_type(types, _RETRACTION_TYPES) | says(_RETRACTION)).alias("is_retraction_notice"),
-        _has_type(types, _CORRECTED_TYPES).alias("is_corrected_republished"),
+        (_has_type(types, _ERRATUM_TYPE) | says(_ERRATUM)).alias("is_erratum_notice"),
+        (_has_type(types, _RETRACTION_TYPE) | says(_RETRACTION)).alias("is_retraction_notice"),
+        _has_type(types, _CORRECTED_TYPE).alias("is_corrected_republished"),
         F.lit(False).alias("has_linked_citation"),
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 _SPACE = r"(?U)\s+"
 _EDGES = r"(?U)^\s+|\s+$"
 _ASCII = r"\A\p{ASCII}*\z"
-PUNCTUATION = r"""[.,:;!?'"()\[\]{}]+"""
+PUNCTUATION = r"""[\[\](){}'"?!;:,.]+"""
 
 
 def fold_text(text: str, accents: bool) -> str:

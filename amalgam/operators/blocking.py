@@ -110,7 +110,7 @@ def simhash_chunks(tokens: DataFrame, bits: int = SIMHASH_BITS, chunks: int = SI
 class SimHashBlocker(Blocker):
     name, match_key = "simhash_title_v1", "title_norm_basic"
 
-    def __init__(self, bits: int = SIMHASH_BITS, chunks: int = SIMHASH_CHUNKS, min_tokens: int = SIMHASH_TOKENS) -> None:
+    def __init__(self, min_tokens: int = SIMHASH_TOKENS, chunks: int = SIMHASH_CHUNKS, bits: int = SIMHASH_BITS) -> None:
         self.bits, self.chunks, self.min_tokens = bits, chunks, min_tokens
 
     def keys(self, records: DataFrame) -> DataFrame:
@@ -176,13 +176,13 @@ REGISTRY: dict[str, type[Blocker]] = {
 class BlockerConfig:
     type: str
     enabled: bool = True
-    params: dict = field(default_factory=dict)
+    params: dict[str, object] = field(default_factory=dict)
 
 
-def create_blocker(config: BlockerConfig) -> Blocker:
-    if config.type not in REGISTRY:
-        raise ValueError(f"unknown blocker {config.type!r}; there are {', '.join(sorted(REGISTRY))}")
-    return REGISTRY[config.type](**config.params)
+def create_blocker(spec: BlockerConfig) -> Blocker:
+    if spec.type not in REGISTRY:
+        raise ValueError(f"unknown blocker {spec.type!r}; there are {', '.join(sorted(REGISTRY))}")
+    return REGISTRY[spec.type](**spec.params)
 
 
 def create_blockers(configs: Iterable[BlockerConfig]) -> list[Blocker]:

@@ -66,8 +66,8 @@ def normalize(records: DataFrame) -> DataFrame:
         | {
             "doi__": E.best(hits, names["doi"], candidate),
             "url__": E.earliest(hits, names["doi_url"], lambda h: E.doi_in_url(h["whole"]).isNotNull()),
-            "aid_pmid__": E.earliest(hits, names["article_ids"], lambda h: h["whole"].rlike(r"(?i)\d+\s*\[pmid\]")),
-            "aid_pmc__": E.earliest(hits, names["article_ids"], lambda h: h["whole"].rlike(r"(?i)PMC\d+\s*\[pmc\]")),
+            "aid_pmid__": E.earliest(hits, names["article_ids"], lambda h: h["whole"].rlike(r"(?i)[0-9]+\s*\[pmid]")),
+            "aid_pmc__": E.earliest(hits, names["article_ids"], lambda h: h["whole"].rlike(r"(?i)PMC[0-9]+\s*\[pmc]")),
             "year__": E.earliest(hits, names["year"], lambda h: E.year(h["value"]).isNotNull()),
             "author_hits__": F.filter(E.every(hits, names["author"]), lambda h: F.lower(h["value"]) != "et al."),
             "types__": F.transform(E.every(hits, names["publication_type"]), lambda h: h["value"]),
@@ -89,11 +89,11 @@ def normalize(records: DataFrame) -> DataFrame:
         }
     )
     from_pages = X.or_null(c("span__")).isNull() & c("pages__.value").isNotNull()
-    ranged = r"(?U)^(\d+)\s*[-–—]\s*(\d+)"
+    ranged = r"(?U)^(\p{Nd}+)\s*[—–-]\s*(\p{Nd}+)"
     df = df.withColumns(
         {
             "doi_norm__": E.doi(c("doi_raw__")),
-            "pmid_norm__": F.coalesce(c("pmid_digits__"), X.or_null(F.regexp_extract(c("aid_pmid__.whole"), r"(?i)(\d+)\s*\[pmid\]", 1))),
+            "pmid_norm__": F.coalesce(c("pmid_digits__"), X.or_null(F.regexp_extract(c("aid_pmid__.whole"), r"(?i)([0-9]+)\s*\[pmid]", 1))),
             "parsed__": F.transform(c("authors__"), lambda a: E.author(a["value"], fmt)),
             "title_norm__": X.for_matching(c("title__.value")),
             "abstract_norm__": X.light(c("abstract__.value")),
@@ -123,7 +123,7 @@ def normalize(records: DataFrame) -> DataFrame:
         "doi_url": F.concat(F.lit("https://doi.org/"), c("doi_norm__")),
         "pmid": c("pmid__.value"),
         "pmid_norm": c("pmid_norm__"),
-        "pmcid": F.coalesce(F.when(c("pmcid__.value").startswith("PMC"), c("pmcid__.value")).otherwise(F.concat(F.lit("PMC"), c("pmcid__.value"))), F.upper(X.or_null(F.regexp_extract(c("aid_pmc__.whole"), r"(?i)(PMC\d+)\s*\[pmc\]", 1)))),
+        "pmcid": F.coalesce(F.when(c("pmcid__.value").startswith("PMC"), c("pmcid__.value")).otherwise(F.concat(F.lit("PMC"), c("pmcid__.value"))), F.upper(X.or_null(F.regexp_extract(c("aid_pmc__.whole"), r"(?i)(PMC[0-9]+)\s*\[pmc]", 1)))),
         "title_raw": c("title__.value"),
         "title_norm_basic": c("title_norm__"),
         "abstract_raw": c("abstract__.value"),

@@ -84,5 +84,5 @@ def score_statistics(scores: DataFrame) -> DataFrame:
 
 def warning_counts(scores: DataFrame) -> DataFrame:
     """One row: pairs with each warning."""
-    names = {"title_truncated": "title_truncated_pairs", "pages_unreliable": "pages_unreliable_pairs", "both_present_id_conflicts": "both_present_id_conflicts"}
-    return scores.agg(*[F.count_if(F.array_contains("warnings", w)).alias(c) for w, c in names.items()])
+    names = ("title_truncated", "pages_unreliable", "both_present_id_conflicts")
+    return scores.agg(*[F.count_if(F.array_contains("warnings", w)).alias(w if w.endswith("conflicts") else f"{w}_pairs") for w in names])

@@ -95,7 +95,7 @@ def part_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _norm(expr: str) -> str:
-    punct = r"""[.,:;!?''"()\[\]{}]+"""
+    punct = r"""[\[\](){}''"?!;:,.]+"""
     return rf"trim(regexp_replace(regexp_replace(replace(strip_accents(lower({expr})), 'ß', 'ss'), '{punct}', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -131,8 +131,8 @@ def doi_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     r"""SELECT doc_id, contains(text, '...') OR ends_with(text, '…') OR contains(lower(text), '[truncated]') AS title_truncated,
- regexp_matches(text, '(?i)\b(erratum|corrigendum|correction|errata|addendum)\b') AS is_erratum_notice,
- regexp_matches(text, '(?i)\b(retraction|retracted|withdrawal)\b') AS is_retraction_notice, trim(text) = '' AS title_missing FROM documents"""
+ regexp_matches(text, '(?i)\b(addendum|correction|corrigendum|erratum|errata)\b') AS is_erratum_notice,
+ regexp_matches(text, '(?i)\b(withdrawal|retraction|retracted)\b') AS is_retraction_notice, trim(text) = '' AS title_missing FROM documents"""
 )
 def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = document_records(spark, sf_dir)

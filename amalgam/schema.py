@@ -17,7 +17,7 @@ META = (
 AUTHOR = "struct<family:string,given:string,initials:string,suffix:string,raw:string>"
 #: Canonical fields in order, with their types.
 CANON_FIELDS: dict[str, str] = {
-    **dict.fromkeys(("doi", "doi_norm", "doi_url", "pmid", "pmid_norm", "pmcid", "title_raw", "title_norm_basic", "abstract_raw", "abstract_norm_basic"), "string"),
+    **dict.fromkeys("doi doi_norm doi_url pmid pmid_norm pmcid title_raw title_norm_basic abstract_raw abstract_norm_basic".split(), "string"),
     "authors_raw": "array<string>",
     "authors_parsed": f"array<{AUTHOR}>",
     "first_author_sig": "string",
@@ -25,7 +25,7 @@ CANON_FIELDS: dict[str, str] = {
     "author_sig_loose": "array<string>",
     "year_raw": "string",
     "year_norm": "int",
-    **dict.fromkeys(("year_source", "journal_full", "journal_abbrev", "journal_norm", "volume", "issue", "pages_raw", "pages_norm_long", "page_first", "page_last", "article_number", "language"), "string"),
+    **dict.fromkeys("year_source journal_full journal_abbrev journal_norm volume issue pages_raw pages_norm_long page_first page_last article_number language".split(), "string"),
     "publication_type": "array<string>",
 }
 CANON = "struct<" + ",".join(f"{k}:{v}" for k, v in CANON_FIELDS.items()) + ">"

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from amalgam.clock import iso, iso_now
 from amalgam.schema import PARSED
 from amalgam.sources import parsers
 
@@ -32,8 +33,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _File) -> Iterator[tuple]:
         path = Path(partition.path)
-        modified = datetime.fromtimestamp(path.stat().st_mtime, UTC).isoformat().replace("+00:00", "Z")
-        rows, _ = parsers.read_content(path.name, path.read_bytes(), modified, datetime.now(UTC).isoformat().replace("+00:00", "Z"))
+        modified = iso(datetime.fromtimestamp(path.stat().st_mtime, UTC))
+        rows, _ = parsers.read_content(path.name, path.read_bytes(), modified, iso_now())
         for row in rows:
             raw = row["raw"]
             tags = [tuple(t.values()) for t in raw["tags"]]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import UTC, datetime
 from pathlib import PurePosixPath
 
 import pyarrow as pa
@@ -11,16 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from amalgam.clock import iso, iso_now
 from amalgam.schema import PARSED, struct_type
 from amalgam.sources import parsers
 
 REPORT = "filename string, filepath string, file_size bigint, file_mtime string, format_detected string, source_ext string, encoding_used string, records_parsed int, tags_parsed int, warnings array<string>, errors array<string>, file_digest string"
 
 
-def iso_now() -> str:
-    return datetime.now(UTC).isoformat().replace("+00:00", "Z")
-
-
 def bibliographic_files(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None, streaming: bool = False) -> DataFrame:
     """path, modificationTime, length and content of the files with a known extension; ``pattern`` is a glob for names."""
     known = "*.{" + ",".join(x[1:] for x in parsers.EXTENSIONS) + "," + ",".join(x[1:].upper() for x in parsers.EXTENSIONS) + "}"
@@ -30,7 +26,7 @@ def bibliographic_files(spark: SparkSession, path: str, recursive: bool = False,
 
 
 def _read(row: dict, ingested: str) -> tuple[list[dict], dict]:
-    modified = row["modificationTime"].replace(tzinfo=UTC).isoformat().replace("+00:00", "Z")
+    modified = iso(row["modificationTime"])
     name = PurePosixPath(row["path"]).name
     rows, report = parsers.read_content(name, row["content"], modified, ingested)
     return rows, report | {"filepath": row["path"]}

@@ -6,17 +6,18 @@ has a reader of its own. Each parser yields :class:`Entry` objects and collects
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 PARSER_VERSION = "1.0.0"
-EXTENSIONS = {".ris": "ris", ".nbib": "pubmed", ".txt": "pubmed", ".bib": "bibtex", ".ciw": "wos", ".enw": "endnote_tagged"}
-_NAMESPACE = uuid.UUID("6ba7b810-9dad-11d1-80b4-00c04fd430c8")
+EXTENSIONS = {f".{e}": fmt for fmt, known in (("pubmed", "nbib txt"), ("ris", "ris"), ("wos", "ciw"), ("bibtex", "bib"), ("endnote_tagged", "enw")) for e in known.split()}
+_NAMESPACE = uuid.NAMESPACE_DNS
 
 #: Signs of a format, the surest first.
 _SIGNS = (
@@ -52,7 +53,7 @@ class Notes:
 
 def detect_encoding(content: bytes) -> str:
     """utf-8-sig with a byte order mark, else utf-8 if that is what it is, else latin-1."""
-    if content[:3] == b"\xef\xbb\xbf":
+    if content.startswith(codecs.BOM_UTF8):
         return "utf-8-sig"
     try:
         content.decode()
@@ -63,10 +64,10 @@ def detect_encoding(content: bytes) -> str:
 
 def text_lines(content: bytes) -> list[str]:
     """The lines of a file, whatever ends them."""
-    return content.decode(detect_encoding(content)).replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    return re.split(r"\r\n?|\n", content.decode(detect_encoding(content)))
 
 
-def sniff_format(lines: list[str]) -> str:
+def sniff_format(lines: Sequence[str]) -> str:
     """The format that the first hundred lines show, or ``unknown``."""
     head = "\n".join(lines[:100])
     return next((name for name, sign in _SIGNS if sign.search(head)), "unknown")
@@ -92,10 +93,10 @@ class Rules:
 
 
 LINE_FORMATS = {
-    "ris": Rules(re.compile(r"^([A-Z0-9]{2})  - ?(.*)$"), re.compile(r"^\s"), "TY", "ER", needs_open=True),
-    "wos": Rules(re.compile(r"^([A-Z0-9]{2})(?: (.*))?$"), re.compile(r"^\s"), "PT", "ER", ("FN", "VR"), "EF", " ", trims=True, needs_open=True),
-    "pubmed": Rules(re.compile(r"^([A-Z]{2,4})\s*-\s+(.*)$"), re.compile(r"^ {6}"), "PMID"),
-    "endnote_tagged": Rules(re.compile(r"^%([A-Z0-9]) (.*)$"), re.compile(r"")),
+    "ris": Rules(re.compile(r"^([0-9A-Z]{2})  - ?(.*)"), re.compile(r"^\s"), "TY", "ER", needs_open=True),
+    "wos": Rules(re.compile(r"^([0-9A-Z]{2})(?:$| (.*))"), re.compile(r"^\s"), "PT", "ER", ("FN", "VR"), "EF", " ", trims=True, needs_open=True),
+    "pubmed": Rules(re.compile(r"^([A-Z]{2}[A-Z]{0,2})\s*-\s+(.*)"), re.compile(r"^ {6}"), "PMID"),
+    "endnote_tagged": Rules(re.compile(r"^%([0-9A-Z]) (.*)"), re.compile(r"")),
 }
 
 
@@ -166,7 +167,7 @@ def scan(rules: Rules, lines: list[str], notes: Notes) -> Iterator[Entry]:
         yield entry
 
 
-_ENTRY = re.compile(r"^@(\w+)\s*\{\s*([^,]*?)\s*,?\s*$")
+_ENTRY = re.compile(r"@(\w+)\s*[{]([^,]*),?$")
 _FIELD = re.compile(r"(\w+)\s*=[ \t\n]*")
 
 
@@ -229,7 +230,7 @@ def scan_bibtex(lines: list[str], notes: Notes) -> Iterator[Entry]:
     at = 0
     while at < len(lines):
         line = lines[at].strip()
-        if not line.startswith("@"):
+        if line[:1] != "@":
             at += 1
             continue
         found = _ENTRY.match(line)
@@ -237,7 +238,7 @@ def scan_bibtex(lines: list[str], notes: Notes) -> Iterator[Entry]:
             notes.warnings.append(f"Line {at}: malformed entry: {line[:50]}")
             at += 1
             continue
-        kind, cite = found[1].lower(), found[2]
+        kind, cite = found[1].lower(), found[2].strip()
         end = _closing_line(lines, at)
         if end < 0:
             notes.errors.append(f"Line {at}: unclosed @{kind}{{{cite}")
@@ -274,7 +275,7 @@ def parse(fmt: str, lines: list[str], notes: Notes) -> Iterator[Entry]:
 def record_digest(fmt: str, tags: list[Tag]) -> str:
     """A digest of format, tags and values; where they are in the file doesn't count."""
     content = {"source_format": fmt, "tags": [{"tag": t.name, "value": t.value} for t in tags]}
-    return "sha256:" + hashlib.sha256(json.dumps(content, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")).hexdigest()
+    return "sha256:" + hashlib.sha256(json.dumps(content, separators=(",", ":"), sort_keys=True, ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def record_id(source_digest: str, digest: str) -> str:

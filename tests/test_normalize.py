@@ -83,7 +83,7 @@ def test_ris_record(spark):
     assert (c["pages_raw"], c["pages_norm_long"], c["page_first"], c["page_last"]) == ("12-19", "12-19", "12", "19")
     assert c["journal_norm"] == "the journal" and c["publication_type"] == ["JOUR"]
     assert first["keys"]["title_year_key"] == "etude of machine-learning|2020" and first["keys"]["title_key_fuzzy"] == "etude of machine learning"
-    assert first["provenance"]["canon.doi_norm"]["confidence"] == "high" and first["provenance"]["canon.title_norm_basic"]["sources"][0]["tag"] == "TI"
+    assert first["provenance"]["canon.doi_norm"].confidence == "high" and first["provenance"]["canon.title_norm_basic"]["sources"][0]["tag"] == "TI"
     assert [t["name"] for t in first["provenance"]["canon.doi_norm"]["transforms"]] == ["extract_from_url", "url_decode", "trim_punct", "casefold"]
     assert second["canon"]["title_raw"] == "Another title" and second["flags"]["authors_missing"] and second["canon"]["year_norm"] is None and second["keys"]["title_year_key"] is None
 

@@ -73,7 +73,7 @@ LEVELS = {"doi": "missing", "pmid": "missing", "title": "missing", "authors": "m
         ({}, -4.59512, 0.01),
         ({"doi": "exact"}, 2.31158, 0.909832),
         ({"title": "exact", "year": "exact"}, 5.14868, 0.994226),
-        ({"title": "exact", "authors": "strong", "year": "exact"}, 7.98188, 0.999659),
+        ({"year": "exact", "title": "exact", "authors": "strong"}, 7.98188, 0.999659),
         ({"doi": "both_present_mismatch", "title": "exact"}, -2.34692, 0.087311),
         ({"year": "exact", "journal": "low", "authors": "mismatch"}, -3.90192, 0.019803),
     ],
