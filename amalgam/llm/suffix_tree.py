@@ -24,7 +24,9 @@ from amalgam.session import cut, filter_by_ids, one_row_per_id, unused
 #: Words of the shortest passage, and of the run that partitions suffixes first.
 MIN_WORDS, SEED_WORDS = 50, 18
 #: Places that a first prefix may have before it is made longer, and rows of a task that builds trees.
-GROUP_ROWS, TASK_ROWS = 50_000, 150_000
+GROUP_ROWS, TASK_ROWS = 50_000, 40_000
+#: Documents that are hashed at once.
+_DOCS = 512
 
 TOKEN = re.compile(r"[^ \t\n\r\f]+")
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -66,7 +68,7 @@ def lightest_runs(h: np.ndarray, powers: Powers, min_words: int = MIN_WORDS, see
 
 def _seeds(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -> Iterator[pa.RecordBatch]:
     hashes, powers = WordHashes(), Powers()
-    for batch in batches:
+    for batch in (whole.slice(at, _DOCS) for whole in batches for at in range(0, len(whole), _DOCS)):
         ids, places, runs = [], [], []
         for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             at, run = lightest_runs(hashes.of(TOKEN.findall(text)), powers, min_words, seed_words)
@@ -139,13 +141,20 @@ def _spans(doc: np.ndarray, place: np.ndarray, flags: np.ndarray, min_words: int
     return pa.record_batch({"doc_id": doc[row], "kind": pa.array([kind] * len(row), pa.string()), "word_start": place[row] - (high - 1), "word_end": place[row] - low + min_words})
 
 
+def _matrix(context: pa.BinaryArray) -> np.ndarray:
+    """The rows of a column of binaries of one length, without a copy."""
+    ends = np.frombuffer(context.buffers()[1], np.int32)[context.offset : context.offset + len(context) + 1]
+    return np.frombuffer(context.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32).reshape(len(context), -1)
+
+
 def _trees(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -> Iterator[pa.RecordBatch]:
     held = list(batches)
     if not sum(map(len, held)):
         return
     table = pa.Table.from_batches(held).combine_chunks()
+    held.clear()
     doc, place, left, right = (table[c].to_numpy().astype(np.int64) for c in ("doc_id", "place", "left", "right"))
-    context = np.frombuffer(b"".join(table["context"].to_pylist()), np.uint32).reshape(len(doc), -1)
+    context = _matrix(table["context"].chunk(0))
     repeats, later = repeated_windows(doc, place, left, right, context, min_words, seed_words)
     for kind, flags in (("repeat", repeats), ("cut", later)):
         yield _spans(doc, place, flags, min_words, kind)
@@ -161,7 +170,7 @@ def _long_prefixes(batches: Iterator[pa.RecordBatch], min_words: int, seed_words
         if not len(batch):
             continue
         doc, place, left, right = (batch[c].to_numpy().astype(np.int64) for c in ("doc_id", "place", "left", "right"))
-        context = np.frombuffer(b"".join(batch["context"].to_pylist()), np.uint32).reshape(len(doc), -1)
+        context = _matrix(batch["context"])
         h = run_hashes(mix64(context.astype(np.uint64) + np.uint64(1)), min_words, powers)
         for before in range(reach + 1):
             own = (left >= before) & (right >= min_words - before)
