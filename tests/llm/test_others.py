@@ -156,6 +156,27 @@ def test_mix_meets_quotas(spark):
     assert sum(flow_mix.quotas({"a": 5, "b": 7, "c": 1}, 11).values()) == 11
 
 
+def test_default_mix_of_a_hot_source(spark):
+    rng = random.Random(15)
+    docs = [(i, cases.words(rng, 50), rng.choice(["en", "de"]), rng.choices(["a", "b", "c"], [90, 8, 2])[0]) for i in range(1000)]
+    rows = flow_mix.mix(cases.table(spark, docs)).collect()
+    have, took, langs = Counter(), Counter(), Counter()
+    for d in docs:
+        have[d[3]] += 50
+    for r in rows:
+        took[docs[r["doc_id"]][3]] += r["n_tokens"]
+        langs[docs[r["doc_id"]][2]] += r["n_tokens"]
+        assert r["component"] == f"source:{docs[r['doc_id']][3]}"
+    shares = {s: n**flow_mix.ALPHA for s, n in have.items()}
+    assert all(abs(took[s] - 50_000 * shares[s] / sum(shares.values())) <= 200 for s in have), (have, took)
+    assert took["a"] < have["a"] and took["c"] > have["c"] and max(r["epoch"] for r in rows) >= 1
+    assert abs(langs["en"] - langs["de"]) < 5_000, "the part that is left out isn't one language"
+    no_source = flow_mix.mix(cases.table(spark, [(1, "a b", "en", None)])).collect()
+    assert [(r["doc_id"], r["component"]) for r in no_source] == [(1, "other:")]
+    by_lang = flow_mix.mix(cases.table(spark, docs), {"lang:en": 3, "lang:de": 1}).collect()
+    assert {r["component"] for r in by_lang} == {"lang:en", "lang:de"}
+
+
 def test_mix_odd_cases(spark):
     odd = cases.odd(spark)
     taken = flow_mix.take_mixed(odd)
