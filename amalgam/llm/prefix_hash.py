@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ MODULUS = (1 << 61) - 1
 BASE = 2251055966835893287
 #: Characters at the beginning that documents have in common for their extensions to be looked up.
 ANCHOR = 32
+#: Characters by which texts are dealt to ranges before whole texts are sorted in each; their sample goes to the driver.
+HEAD = 200
 _M, _LOW, _29, _32, _61 = np.uint64(MODULUS), np.uint64(0xFFFFFFFF), np.uint64(29), np.uint64(32), np.uint64(61)
 
 
@@ -131,6 +134,7 @@ def fingerprint_documents(docs: DataFrame, anchor: int = ANCHOR) -> DataFrame:
     ``copy_of`` is the least doc_id with the same length and fingerprint. Of texts that differ, those that begin with the same ``anchor``
     characters (an equal span) are compared with the one of the least doc_id, ``anchor_id``: how many characters the two have in common
     from the beginning, and how many at the end of what remains. The three are null for that document itself, for copies and where no other begins alike.
+    Another document may agree for longer, or only at the end: ``longest_extensions`` finds that.
 
     * Null text: n_chars and all after it are null. Empty text: length 0 and fingerprint 0. Null doc_id: left out.
     * Fewer than ``anchor`` characters: no anchor. Repeated rows of a doc_id: one row; the one with the least text counts.
@@ -149,3 +153,71 @@ def fingerprint_documents(docs: DataFrame, anchor: int = ANCHOR) -> DataFrame:
     found = found.mapInArrow(_extensions, "doc_id bigint, anchor_id bigint, common_prefix bigint, common_suffix bigint")
     named = prints.join(firsts.drop("head"), ["n_chars", "fingerprint"]).select("doc_id", "n_chars", "fingerprint", "copy_of")
     return docs.select("doc_id").join(named, "doc_id", "left").join(found, "doc_id", "left").select("doc_id", "n_chars", "fingerprint", "copy_of", "anchor_id", "common_prefix", "common_suffix")
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    differ = a[:n] != b[:n]
+    return int(differ.argmax()) if differ.any() else n
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row of a sorted range the least doc_id of its text (``lead``); for the first row of a text also the text before it (``other``) and what they share."""
+    part, place = TaskContext.get().partitionId(), 0
+    lead = last = points = None
+    for batch in batches:
+        leads, others, extents, places = [], [], [], []
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            other = extent = None
+            if text != last:
+                own = _points(text)
+                if lead is not None:
+                    other, extent = lead, _agree(own, points)
+                lead, last, points, place = doc_id, text, own, place + 1
+            leads.append(lead), others.append(other), extents.append(extent), places.append(place)
+        columns = {"lead": leads, "other": others, "extent": extents, "place": places, "part": [part] * len(leads)}
+        yield pa.record_batch({"doc_id": batch["doc_id"]} | {name: pa.array(values, pa.int64()) for name, values in columns.items()})
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        extents = [_agree(_points(a), _points(b)) for a, b in zip(batch["text"].to_pylist(), batch["before"].to_pylist(), strict=True)]
+        yield pa.record_batch({"lead": batch["lead"], "other": batch["other"], "extent": pa.array(extents, pa.int64())})
+
+
+def _longest_prefixes(known: DataFrame, name: str) -> DataFrame:
+    """doc_id, ``name``_id and longest_``name`` of (doc_id, text): sorted texts have the most in common with one of the two beside them."""
+    ranged = known.withColumn("head", F.substring("text", 1, HEAD)).repartitionByRange("head").select("doc_id", "text").sortWithinPartitions("text", "doc_id")
+    rows = cut(ranged.mapInArrow(_neighbours, "doc_id bigint, lead bigint, other bigint, extent bigint, place bigint, part bigint"))
+    ends = rows.groupBy("part").agg(F.min_by("lead", "place").alias("first"), F.max_by("lead", "place").alias("last")).orderBy("part").collect()
+    edges = cut(known.sparkSession.createDataFrame([(b["first"], a["last"]) for a, b in zip(ends, ends[1:], strict=False)], "lead bigint, other bigint"))
+    texts = filter_by_ids(known, cut(edges.select(F.col("lead").alias("doc_id")).distinct()), "doc_id", keep=True).withColumnRenamed("doc_id", "lead")
+    before = filter_by_ids(known, cut(edges.select(F.col("other").alias("doc_id")).distinct()), "doc_id", keep=True).select(F.col("doc_id").alias("other"), F.col("text").alias("before"))
+    across = edges.join(texts, "lead").join(before, "other").select("lead", "other", "text", "before").mapInArrow(_compare, "lead bigint, other bigint, extent bigint")
+    pairs = rows.filter("other is not null").select("lead", "other", "extent").union(across).filter("extent > 0")
+    both = pairs.union(pairs.select(F.col("other").alias("lead"), F.col("lead").alias("other"), "extent"))
+    best = both.groupBy("lead").agg(F.max(F.struct("extent", (-F.col("other")).alias("least"))).alias("best"))
+    return rows.join(best, "lead", "left").select("doc_id", (-F.col("best.least")).alias(f"{name}_id"), F.coalesce("best.extent", F.lit(0)).cast("bigint").alias(f"longest_{name}"))
+
+
+def longest_extensions(docs: DataFrame) -> DataFrame:
+    """doc_id, prefix_id, longest_prefix, suffix_id and longest_suffix, one row for each doc_id.
+
+    ``longest_prefix`` is the most characters that a document has in common, from the beginning, with any document of another text, exactly;
+    ``prefix_id`` is one that has them (the text before or after it in order, of equals the least doc_id). The same from the end, by reversed texts.
+    Texts are sorted whole in ranges of their first ``HEAD`` characters; those that agree in all of these are in one range, whose sort spills.
+    Spans in the middle of two texts that agree neither at the beginning nor at the end aren't looked for.
+
+    * Null text: all null. Nothing in common with any other, empty text or no other text: length 0 and a null id. Null doc_id: left out.
+    * Copies of a text have the same result; of their own doc_ids the least stands for them. Repeated rows of a doc_id: as in ``fingerprint_documents``.
+    * An empty table gives an empty result. Only doc_id and text are used, so further columns don't matter.
+    """
+    docs = one_row_per_id(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null"), "doc_id")
+    known = docs.filter("text is not null")
+    found = _longest_prefixes(known, "prefix").join(_longest_prefixes(known.withColumn("text", F.reverse("text")), "suffix"), "doc_id")
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", "prefix_id", "longest_prefix", "suffix_id", "longest_suffix")

@@ -98,6 +98,11 @@ SELECT f.doc_id, n_chars, fingerprint, copy_of, anchor_id, common_prefix, least(
 """
 
 
+def op7_longest_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest prefix and suffix that each document has in common with any other."""
+    return prefix_hash.longest_extensions(_documents(spark, sf_dir))
+
+
 def op8_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences."""
     return packing.pack_documents(_documents(spark, sf_dir))
@@ -141,6 +146,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bigru_toxicity": op10_bigru_toxicity,
 }
 
+#: Queries besides the one of each number.
+FURTHER: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_longest_extensions": op7_longest_extensions}
+
 ORACLES: dict[str, str] = {
     "op1_warc_index_merge": OP1_SQL,
     "op2_suffix_tree_repeats": OP2_SQL,

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from amalgam.llm import cminhash, prefix_hash, suffix_tree, toxicity
+from amalgam.llm.queries import FURTHER
 from tests.llm import cases
 
 
@@ -134,6 +135,36 @@ def test_fingerprints(spark):
     assert (rows[6]["common_prefix"], rows[6]["common_suffix"]) == (len(head), 0)
 
 
+@pytest.mark.parametrize("ranges", [1, 6])
+def test_longest_extensions_against_brute_force(spark, ranges):
+    rng = random.Random(9)
+    header = "Licensed under the same terms as all of them. "
+    bodies = [cases.words(rng, 40) for _ in range(60)]
+    texts = [header + b for b in bodies]
+    texts += [header + b[: len(b) // 2] + "😀 other" for b in bodies[::6]]  # long common prefixes with one that isn't the least
+    texts += ["x" + t[1:] for t in texts[1:8]] + ["A line in front\n" + t for t in texts[10:15]]
+    texts += [texts[3], texts[3], "", "é"]
+    docs = list(enumerate(texts)) + [(900, None)]
+    conf = {"spark.sql.shuffle.partitions": str(ranges), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    usual = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = {r["doc_id"]: r for r in prefix_hash.longest_extensions(cases.table(spark, docs).repartition(5)).collect()}
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    assert set(rows) == {d for d, _ in docs} and tuple(rows[900])[1:] == (None,) * 4
+    for i, t in enumerate(texts):
+        for way, turn in (("prefix", 1), ("suffix", -1)):
+            want = max(brute_prefix(t[::turn], o[::turn]) for o in texts if o != t)
+            other = rows[i][f"{way}_id"]
+            assert rows[i][f"longest_{way}"] == want and (other is None) == (want == 0)
+            assert other is None or texts[other] != t and brute_prefix(t[::turn], texts[other][::turn]) == want
+    assert prefix_hash.longest_extensions(cases.empty(spark)).count() == 0 and prefix_hash.longest_extensions(cases.odd(spark)).count() == 10
+    assert "op7_longest_extensions" in FURTHER
+
+
 def test_fingerprints_odd_cases(spark):
     rows = {r["doc_id"]: r for r in prefix_hash.fingerprint_documents(cases.odd(spark)).collect()}
     assert set(rows) == set(range(1, 11)) and rows[1]["fingerprint"] is None and rows[1]["copy_of"] is None
