@@ -10,6 +10,8 @@ from amalgam.session import cut
 
 #: Least part of labelled URLs, and least number of them, that a rule's tokens occur in together with the label; least confidence.
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 5, 0.4
+#: A page is blocked where its best rule is right more often than wrong.
+BLOCK_ABOVE = 0.5
 #: The item that stands for a low-quality label; it can't be a URL token, which all have a letter and a colon first.
 LOW = "#low"
 
@@ -78,7 +80,7 @@ def match_rules(keyed: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, **parameters: float) -> DataFrame:
-    """page_id, url, n_rules, best_rule, confidence and blocked (whether a rule matches), one row for each page.
+    """page_id, url, n_rules, best_rule, confidence and blocked (whether the best rule is right for more than half of its labelled pages), one row for each page.
 
     Rules are mined from the pages that ``labels`` (doc_id is the page_id, quality 0 or 1) covers; a page with labels of both kinds counts as low.
 
@@ -96,6 +98,6 @@ def filter_urls(pages: DataFrame, labels: DataFrame, **parameters: float) -> Dat
         match_rules(urls.select(F.col("url").alias("key"), url_tokens(F.col("url")).alias("tokens")), rules)
         .withColumns({"rank": F.row_number().over(best), "n_rules": F.count(F.lit(1)).over(Window.partitionBy("key"))})
         .filter("rank = 1")
-        .select(F.col("key").alias("url"), "n_rules", F.col("rule_id").alias("best_rule"), F.round("confidence", 6).alias("confidence"))
+        .select(F.col("key").alias("url"), "n_rules", F.col("rule_id").alias("best_rule"), F.round("confidence", 6).alias("confidence"), (F.col("confidence") > BLOCK_ABOVE).alias("blocked"))
     )
-    return pages.join(matched, "url", "left").select("page_id", "url", F.coalesce("n_rules", F.lit(0)).cast("bigint").alias("n_rules"), "best_rule", "confidence", F.col("n_rules").isNotNull().alias("blocked"))
+    return pages.join(matched, "url", "left").select("page_id", "url", F.coalesce("n_rules", F.lit(0)).cast("bigint").alias("n_rules"), "best_rule", "confidence", F.coalesce("blocked", F.lit(False)).alias("blocked"))

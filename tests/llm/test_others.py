@@ -76,6 +76,15 @@ def test_url_filter_and_odd_cases(spark):
     assert not any(r["blocked"] for r in url_rules.filter_urls(df, labels.limit(0)).collect()) and url_rules.filter_urls(df.limit(0), labels).count() == 0
 
 
+def test_pages_are_blocked_by_rules_that_are_more_often_right(spark):
+    low = {i for i in range(60) if i < 20 and i % 20 < 9 or 20 <= i < 40 and i % 20 < 11}
+    pages = [(i, f"http://{('doubtful', 'bad', 'good')[i // 20]}.org/{i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i not in low)) for i in range(60)], "doc_id long, quality int")
+    rows = url_rules.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labels, min_confidence=0.4).collect()
+    assert {r["page_id"] for r in rows if r["blocked"]} == set(range(20, 40)), "11 of 20 are enough, 9 of 20 aren't"
+    assert all(r["best_rule"] == "h:doubtful" and r["confidence"] == 0.45 for r in rows if r["page_id"] < 20)
+
+
 def test_language_on_held_out_documents(spark):
     rng = random.Random(4)
     vocab = {"xx": ["kara", "tulo", "mina", "sorek"], "yy": ["thwing", "brough", "shrent", "wyld"], "zz": ["oiseau", "eaux", "cieux", "aieul"]}
