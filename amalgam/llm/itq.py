@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -118,24 +119,8 @@ def _units(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", size).filter(good).select("vec_id", F.transform("e", lambda x: x / F.sqrt("size")).alias("v"))
 
 
-def near_embeddings(embeddings: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, key_bits: int = KEY_BITS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """vec_id, group_id (the least vec_id of its group) and keep (whether vec_id is that one), for every vec_id.
-
-    Vectors belong together when a chain of pairs joins them, each with a cosine of at least ``threshold`` and codes that meet in a table.
-    Every vector is a query; no list of candidates is cut short. Equal directions are grouped before the tables.
-
-    * A null or empty vector, one with a null, NaN or infinite component, or zero: a group of its own; so is one whose length isn't the most common (of equals: the largest).
-    * Null vec_id: left out. Repeated rows of a vec_id: the one with the least text form counts.
-    * An empty table gives an empty result. Only vec_id and embedding are used, so further columns don't matter.
-    """
-    rows = one_row_per_id(embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).filter("vec_id is not null"), "vec_id")
-    alone = rows.select("vec_id", F.col("vec_id").alias("group_id"), F.lit(True).alias("keep"))
-    units = _units(rows)
-    lengths = units.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    if not lengths:
-        return alone
-    dim = int(lengths[0]["dim"])
-    units = cut(units.filter(F.size("v") == dim))
+def _named(units: DataFrame, dim: int, threshold: float, bits: int, key_bits: int, rounds: int, seed: int) -> DataFrame:
+    """vec_id and the least vec_id of its group, of unit vectors of one length; those that nothing is near may be missing."""
     quantiser = learn(units, dim, bits, rounds, seed)
     width = quantiser.turn.shape[1]
 
@@ -165,7 +150,26 @@ def near_embeddings(embeddings: DataFrame, threshold: float = THRESHOLD, bits: i
 
     groups = near_groups(members, verify, _near)
     named = copies.join(groups.withColumnRenamed("node", "first"), "first", "left").select("vec_id", F.coalesce("component", "first").alias("found"))
-    named = named.union(groups.select("node", "component"))
+    return named.union(groups.select("node", "component"))
+
+
+def near_embeddings(embeddings: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, key_bits: int = KEY_BITS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+    """vec_id, group_id (the least vec_id of its group) and keep (whether vec_id is that one), for every vec_id.
+
+    Vectors belong together when a chain of pairs joins them, each with a cosine of at least ``threshold`` and codes that meet in a table.
+    Every vector is a query; no list of candidates is cut short. Equal directions are grouped before the tables.
+
+    * A null or empty vector, one with a null, NaN or infinite component, or zero: a group of its own. Each length of vectors has codes and tables of its own.
+    * Null vec_id: left out. Repeated rows of a vec_id: the one with the least text form counts.
+    * An empty table gives an empty result. Only vec_id and embedding are used, so further columns don't matter.
+    """
+    rows = one_row_per_id(embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).filter("vec_id is not null"), "vec_id")
+    alone = rows.select("vec_id", F.col("vec_id").alias("group_id"), F.lit(True).alias("keep"))
+    units = cut(_units(rows))
+    lengths = sorted(r["dim"] for r in units.groupBy(F.size("v").alias("dim")).count().filter("count > 1").collect())
+    if not lengths:
+        return alone
+    named = reduce(DataFrame.union, [_named(units.filter(F.size("v") == dim), dim, threshold, bits, key_bits, rounds, seed) for dim in lengths])
     return rows.select("vec_id").join(named, "vec_id", "left").select("vec_id", F.coalesce("found", "vec_id").alias("group_id"), (F.coalesce("found", "vec_id") == F.col("vec_id")).alias("keep"))
 
 

@@ -239,6 +239,12 @@ def test_embeddings_odd_cases(spark):
     assert itq.near_embeddings(df.limit(0)).count() == 0
 
 
+def test_each_length_of_vectors_is_compared(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0]), *((10 + i, [float(i == j % 3) for j in range(3)]) for i in range(3)), (13, [0.0, 0.0, 5.0])]
+    found = {r["vec_id"]: r["group_id"] for r in itq.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 10: 10, 11: 11, 12: 12, 13: 12}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_against_naive_first_fit(seed):
     rng = random.Random(seed)
