@@ -188,8 +188,10 @@ class SuffixTree:
     def deep_leaves(self, depth: int, rank: np.ndarray) -> Iterator[tuple[str, np.ndarray, int, np.ndarray]]:
         """Kind, leaves, the words in front of the prefix at which they begin and the words from the prefix on, of nodes at least ``depth`` deep.
 
-        ``repeat`` has the deepest node above a leaf, ``cut`` the deepest in which a leaf of a lower ``rank`` is first.
+        ``repeat`` has the deepest node above a leaf, ``cut`` the deepest in which a leaf of a lower ``rank`` is first. Nodes that begin further in front come
+        first; a leaf is there again only where a later one reaches further.
         """
+        reached = {kind: np.zeros(len(self.order), np.int64) for kind in ("repeat", "cut")}
         for behind, first, last in left_nodes(self.left.tolist()):
             places = np.sort(self.place[self.lefts[first : last + 1]])
             shared = np.minimum.reduceat(self.right, places[:-1]) if len(places) < len(self.order) else self.right
@@ -198,12 +200,10 @@ class SuffixTree:
             if behind + shared.max() < depth:
                 continue
             leaves = self.order[places]
-            most = np.maximum(np.r_[0, shared], np.r_[shared, 0])
-            deep = behind + most >= depth
-            yield "repeat", leaves[deep], behind, most[deep]
-            earlier = longest_earlier(shared, rank[leaves])
-            deep = behind + earlier >= depth
-            yield "cut", leaves[deep], behind, earlier[deep]
+            for kind, most in (("repeat", np.maximum(np.r_[0, shared], np.r_[shared, 0])), ("cut", longest_earlier(shared, rank[leaves]))):
+                deep = (behind + most >= depth) & (most > reached[kind][leaves])
+                reached[kind][leaves[deep]] = most[deep]
+                yield kind, leaves[deep], behind, most[deep]
 
 
 class _Spans:
@@ -288,11 +288,6 @@ def _trees(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int, c
         yield from grown(pa.Table.from_batches(held))
 
 
-def _crowded(rows: DataFrame, group_rows: int) -> DataFrame:
-    """The keys of more than ``group_rows`` places."""
-    return cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows).select("key"))
-
-
 def _equal_places(rows: DataFrame) -> DataFrame:
     """Rows with their node's first place as ``first``, of (key, doc_id, place, ..); keys that occur once are left out.
 
@@ -335,27 +330,29 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: i
     docs = one_row_per_id(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna(), "doc_id")
     seeds = cut(docs.mapInArrow(lambda it: _seeds(it, min_words, seed_words), "doc_id bigint, place int, seed bigint"))
     counts = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = seeds.join(counts, "seed")
-    by_doc = cut(shared.groupBy("doc_id").agg(F.collect_list(F.struct("place", "seed")).alias("places"), F.max("n").alias("n")))
-    wanted = filter_by_ids(docs, by_doc.select("doc_id"), "doc_id", keep=True)
-    places = wanted.join(by_doc.drop("n"), "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it: _contexts(it, min_words, seed_words), PLACE)
-    parts, trees = [], [places]
-    if (by_doc.agg(F.max("n")).first()[0] or 0) > group_rows:
-        rows, trees = cut(places), []
-        crowded = _crowded(rows, group_rows)
-        trees.append(filter_by_ids(rows, crowded, "key", keep=False))
-        rows = filter_by_ids(rows, crowded, "key", keep=True)
+    place, crowd = F.struct("place", "seed"), F.col("n") > group_rows
+    by_doc = cut(seeds.join(counts, "seed").groupBy("doc_id").agg(F.collect_list(F.when(~crowd, place)).alias("some"), F.collect_list(F.when(crowd, place)).alias("crowded")))
+
+    def around(kind: str) -> DataFrame:
+        chosen = by_doc.filter(F.size(kind) > 0).select("doc_id", F.col(kind).alias("places"))
+        wanted = filter_by_ids(docs, cut(chosen.select("doc_id")), "doc_id", keep=True)
+        return wanted.join(chosen, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it: _contexts(it, min_words, seed_words), PLACE)
+
+    parts, trees = [], [around("some")]
+    if not by_doc.filter(F.size("crowded") > 0).isEmpty():
+        rows = cut(around("crowded"))
         # places with the same words throughout are one leaf, the first; the spans of its copies are all of these words
         same = cut(_equal_places(rows.withColumn("key", F.concat("key", F.unhex(F.md5(F.concat("context", F.encode(F.concat_ws(",", "left", "right"), "UTF-8"))))))))
         parts.append(_node_spans(same.filter(F.col("left") + F.col("right") >= min_words), "left", "right"))
-        rows = rows.join(same.filter("later").select("doc_id", "place"), ["doc_id", "place"], "left_anti").select(*rows.columns)
-        while not crowded.isEmpty():
-            longer = cut(rows.mapInArrow(lambda it: _longer_prefixes(it, min_words, seed_words), PLACE))
+        rows = cut(rows.join(same.filter("later").select("doc_id", "place"), ["doc_id", "place"], "left_anti").select(*rows.columns))
+        while True:
+            crowded = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows).select("key"))
+            trees.append(filter_by_ids(rows, crowded, "key", keep=False))
+            if crowded.isEmpty():
+                break
+            longer = cut(filter_by_ids(rows, crowded, "key", keep=True).mapInArrow(lambda it: _longer_prefixes(it, min_words, seed_words), PLACE))
             parts.append(_node_spans(_equal_places(longer.filter("low = high").select("key", "low", "doc_id", "place")), "low", f"({min_words} - low)"))
-            longer = longer.filter("low < high")
-            crowded = _crowded(longer, group_rows)
-            trees.append(filter_by_ids(longer, crowded, "key", keep=False))
-            rows = filter_by_ids(longer, crowded, "key", keep=True)
+            rows = longer.filter("low < high")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for rows in trees:
         grown = rows.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lambda it: _trees(it, min_words, seed_words, chunk_rows), SPAN)
