@@ -1,7 +1,7 @@
 """Spark-native record deduplication and corpus preparation."""
 
 __version__ = "0.1.0"
-__all__ = ["ParseError", "dedupe", "normalize", "parse_file", "parse_folder", "write_jsonl"]
+__all__ = ["CanonicalRecord", "ParseError", "dedupe", "normalize", "parse_file", "parse_folder", "write_jsonl"]
 
 
 def __getattr__(name: str) -> object:
@@ -10,6 +10,10 @@ def __getattr__(name: str) -> object:
         from amalgam.operators.normalize import normalize
 
         return normalize
+    if name == "CanonicalRecord":
+        from amalgam.records import CanonicalRecord
+
+        return CanonicalRecord
     if name in __all__:
         from amalgam import api
 

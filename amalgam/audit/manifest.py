@@ -57,7 +57,7 @@ class ManifestWriter:
         """Adds the event log, if there is one."""
         events = self.output_dir / "events.jsonl"
         if events.exists():
-            self.add_output_artifact("events.jsonl", file_sha256(events), events.stat().st_size)
+            self.add_output_artifact("events.jsonl", f"sha256:{file_sha256(events)}", events.stat().st_size)
 
     def to_dict(self) -> dict:
         return self.data

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
 
 from amalgam import __version__
 from amalgam.api import parse_file, parse_folder
 from amalgam.engine import DEFAULT_BLOCKERS, PipelineConfig, run_pipeline
-from amalgam.sinks.jsonl import write_jsonl
+from amalgam.session import cut, exists, is_folder, local_session
+from amalgam.sinks.jsonl import write_jsonl_file
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -28,7 +28,7 @@ def _parser() -> argparse.ArgumentParser:
     dedup.add_argument("--t-high", type=float)
     dedup.add_argument("--blockers", default=",".join(DEFAULT_BLOCKERS))
     dedup.add_argument("--calibration", help="labelled pairs (JSON lines) from which t-high is computed at fpr-alpha")
-    dedup.add_argument("--single-files", action="store_true", help="one sorted part for each artifact")
+    dedup.add_argument("--single-files", action="store_true", help="one sorted file for each artifact")
     for command in (parse, dedup):
         command.add_argument("-v", "--verbose", action="store_true")
     return top
@@ -37,11 +37,13 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     try:
-        if not Path(a.input_path).exists():
+        spark = local_session()
+        if not exists(spark, a.input_path):
             raise FileNotFoundError(a.input_path)
         if a.command == "parse":
-            records = parse_folder(a.input_path, recursive=a.recursive) if Path(a.input_path).is_dir() else parse_file(a.input_path)
-            write_jsonl(records, a.output, "rid", single=True)
+            # kept, so that files are parsed once for writing and counting
+            records = cut(parse_folder(a.input_path, recursive=a.recursive) if is_folder(spark, a.input_path) else parse_file(a.input_path))
+            write_jsonl_file(records, a.output, "rid")
             print(f"wrote {records.count()} records to {a.output}")
             return 0
         config = PipelineConfig(a.output_dir, [b.strip() for b in a.blockers.split(",")], a.t_high, a.single_files, a.t_low, a.calibration, a.fpr_alpha)

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from amalgam.functions import ids
 from amalgam.functions import keys as K
+from amalgam.session import cut, one_row_per_id
 
 PERMUTATIONS, BANDS, MINHASH_TOKENS, MINHASH_SEED = 128, 16, 3, 42
 SIMHASH_BITS, SIMHASH_CHUNKS, SIMHASH_TOKENS = 64, 4, 5
 PREFIX, YEARS = 32, (-1, 0, 1)
 RARE_TOKENS, RARE_SHARE = 3, 0.01
-#: A block of more records is reported; none is dropped.
-LARGE_BLOCK = 1000
+#: A block of more records is reported; none is dropped. The largest of them that a run's report lists by name.
+LARGE_BLOCK, LISTED_BLOCKS = 1000, 100
 _PRIME = (1 << 31) - 1
+#: Digests that a worker keeps, and tokens that are worked on at once.
+_KEPT, _CHUNK = 400_000, 8192
 
 
 class Blocker:
@@ -62,22 +68,76 @@ def minhash_factors(permutations: int = PERMUTATIONS, seed: int = MINHASH_SEED)
     return [tuple(x) for x in np.random.default_rng(seed).integers(1, _PRIME, (permutations, 2)).tolist()]
 
 
-def token_rows(tokens: DataFrame) -> DataFrame:
-    """rid and token of (rid, tokens); each token of a record once."""
-    return tokens.select("rid", F.explode(F.array_distinct("tokens")).alias("token"))
+class _Digests(dict):
+    """Token to the first ``digits`` hexadecimal digits of the SHA-256 of ``salt`` and token, as a number; computed when first asked for."""
 
+    def __init__(self, salt: str, digits: int) -> None:
+        super().__init__()
+        self.salt, self.digits = salt, digits
 
-def minhash_bands(tokens: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS, seed: int = MINHASH_SEED) -> DataFrame:
-    """rid and one key for each band of its MinHash signature: (a * x + b) mod p over 28 bits of each token's SHA-256.
+    def __missing__(self, token: str) -> int:
+        if len(self) >= _KEPT:
+            self.clear()
+        h = self[token] = int(hashlib.sha256((self.salt + token).encode()).hexdigest()[: self.digits], 16)
+        return h
 
-    The signature is one aggregation with a minimum for each permutation, which is compiled and combined before the shuffle.
+
+def _key_rows(tokens: DataFrame, min_tokens: int, salt: str, digits: int, reduce_rows, keys_of) -> DataFrame:  # noqa: ANN001
+    """rid and block_key of (rid, tokens) in one Arrow pass: no shuffle, and the tokens are computed once.
+
+    ``reduce_rows`` takes token numbers and the first place of each record; its results are combined over chunks, so that a long record takes no more
+    memory than a short one. ``keys_of`` takes a record's result and its number of tokens.
     """
+
+    def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = _Digests(salt, digits)
+        for batch in batches:
+            rids, keys = [], []
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                lists = [(rid, t) for rid, t in zip(part["rid"].to_pylist(), part["tokens"].to_pylist(), strict=True) if t is not None and len(t) >= max(1, min_tokens)]
+                if lists:
+                    counts = np.array([len(t) for _, t in lists])
+                    flat = np.fromiter((digests[t] for _, ts in lists for t in ts), np.uint64, counts.sum())
+                    for (rid, _), n, found in zip(lists, counts.tolist(), reduce_rows(flat, np.cumsum(counts) - counts), strict=True):
+                        own = keys_of(found, n)
+                        keys += own
+                        rids += [rid] * len(own)
+            yield pa.record_batch({"rid": pa.array(rids, pa.string()), "block_key": pa.array(keys, pa.string())})
+
+    return tokens.select(F.col("rid").cast("string").alias("rid"), "tokens").mapInArrow(pass_over, "rid string, block_key string")
+
+
+def _by_record(flat: np.ndarray, starts: np.ndarray, width: int, values, combine: np.ufunc, none: int, dtype: type) -> np.ndarray:  # noqa: ANN001
+    """``combine`` over the rows of ``values`` (a matrix of ``width`` columns for some numbers) of each record, in chunks."""
+    out = np.full((len(starts), width), none, dtype)
+    for low in range(0, len(flat), _CHUNK):
+        high = min(len(flat), low + _CHUNK)
+        first = int(np.searchsorted(starts, low, "right")) - 1
+        inside = np.r_[low, starts[(starts > low) & (starts < high)]]
+        owners = slice(first, first + len(inside))
+        out[owners] = combine(out[owners], combine.reduceat(values(flat[low:high]), inside - low, axis=0, dtype=dtype))
+    return out
+
+
+def minhash_bands(tokens: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS, seed: int = MINHASH_SEED, min_tokens: int = 1) -> DataFrame:
+    """rid and one key for each band of the MinHash signature of (rid, tokens) with enough tokens: (a * x + b) mod p over 28 bits of each token's SHA-256."""
     rows = permutations // bands
-    x = F.col("x")
-    hashed = token_rows(tokens).select("rid", F.conv(F.substring(F.sha2("token", 256), 1, 7), 16, 10).cast("bigint").alias("x"))
-    signed = hashed.groupBy("rid").agg(*[F.min((F.lit(a) * x + F.lit(b)) % F.lit(_PRIME)).alias(f"m{i}") for i, (a, b) in enumerate(minhash_factors(permutations, seed))])
-    key = lambda i: F.concat(F.lit(f"mh:b{i}:"), F.substring(F.sha2(F.concat_ws(",", *[F.col(f"m{k}").cast("string") for k in range(i * rows, (i + 1) * rows)]), 256), 1, 16))
-    return signed.select("rid", F.explode(F.array(*[key(i) for i in range(bands)])).alias("block_key"))
+    a, b = (np.array(x, np.uint64) for x in zip(*minhash_factors(permutations, seed), strict=True))
+    prime, shift = np.uint64(_PRIME), np.uint64(31)
+
+    def permuted(x: np.ndarray) -> np.ndarray:
+        # the prime is 2**31 - 1, so a remainder takes two folds
+        v = x[:, None] * a + b
+        for _ in range(2):
+            v = (v & prime) + (v >> shift)
+        return np.where(v >= prime, v - prime, v)
+
+    def keys_of(signature: np.ndarray, n: int) -> list[str]:
+        own = [str(x) for x in signature.tolist()]
+        return [f"mh:b{i}:{hashlib.sha256(','.join(own[i * rows : (i + 1) * rows]).encode()).hexdigest()[:16]}" for i in range(bands)]
+
+    return _key_rows(tokens, min_tokens, "", 7, lambda flat, starts: _by_record(flat, starts, permutations, permuted, np.minimum, _PRIME, np.uint64), keys_of)
 
 
 class MinHashBlocker(Blocker):
@@ -87,24 +147,25 @@ class MinHashBlocker(Blocker):
         self.num_perm, self.bands, self.min_tokens = num_perm, bands, min_tokens
 
     def keys(self, records: DataFrame) -> DataFrame:
-        tokens = records.select("rid", _title_tokens().alias("tokens")).filter(F.size("tokens") >= self.min_tokens)
-        return minhash_bands(tokens, self.num_perm, self.bands)
+        return minhash_bands(records.select("rid", _title_tokens().alias("tokens")), self.num_perm, self.bands, min_tokens=self.min_tokens)
 
 
-def simhash_chunks(tokens: DataFrame, bits: int = SIMHASH_BITS, chunks: int = SIMHASH_CHUNKS) -> DataFrame:
-    """rid and keys of the stretches of its SimHash, the lowest first; a token's hash is the beginning of its SHA-256, which has 0: in front.
+def simhash_chunks(tokens: DataFrame, bits: int = SIMHASH_BITS, chunks: int = SIMHASH_CHUNKS, min_tokens: int = 1) -> DataFrame:
+    """rid and keys of the stretches of the SimHash of (rid, tokens) with enough tokens, the lowest first; a token's hash is the beginning of its SHA-256, which has 0: in front.
 
     Tokens vote as often as they occur; a bit is set if more than half of the votes are for it.
     """
-    width = bits // chunks
-    digits = width // 4
-    digest = tokens.select("rid", F.explode("tokens").alias("token")).select("rid", F.sha2(F.concat(F.lit("0:"), "token"), 256).alias("d"))
-    cut = digest.select("rid", *[F.conv(F.substring("d", (chunks - 1 - i) * digits + 1, digits), 16, 10).cast("bigint").alias(f"c{i}") for i in range(chunks)])
-    ones = [F.sum(F.shiftright(F.col(f"c{i}"), b).bitwiseAND(F.lit(1))).alias(f"v{i}_{b}") for i in range(chunks) for b in range(width)]
-    voted = cut.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), *ones)
-    value = lambda i: reduce(lambda s, b: s + F.when(2 * F.col(f"v{i}_{b}") > F.col("n"), 1 << b).otherwise(0), range(width), F.lit(0).cast("bigint"))
-    key = lambda i: F.concat(F.lit(f"sh:c{i}:"), F.lpad(F.lower(F.hex(value(i))), digits, "0"))
-    return voted.select("rid", F.explode(F.array(*[key(i) for i in range(chunks)])).alias("block_key"))
+    digits = bits // chunks // 4
+    width = 4 * digits * chunks
+
+    def votes(x: np.ndarray) -> np.ndarray:
+        return np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - width :]
+
+    def keys_of(found: np.ndarray, n: int) -> list[str]:
+        text = np.packbits(2 * found > n).tobytes().hex()
+        return [f"sh:c{i}:{text[(chunks - 1 - i) * digits : (chunks - i) * digits]}" for i in range(chunks)]
+
+    return _key_rows(tokens, min_tokens, "0:", width // 4, lambda flat, starts: _by_record(flat, starts, width, votes, np.add, 0, np.int64), keys_of)
 
 
 class SimHashBlocker(Blocker):
@@ -114,8 +175,7 @@ class SimHashBlocker(Blocker):
         self.bits, self.chunks, self.min_tokens = bits, chunks, min_tokens
 
     def keys(self, records: DataFrame) -> DataFrame:
-        tokens = records.select("rid", _title_tokens().alias("tokens")).filter(F.size("tokens") >= self.min_tokens)
-        return simhash_chunks(tokens, self.bits, self.chunks)
+        return simhash_chunks(records.select("rid", _title_tokens().alias("tokens")), self.bits, self.chunks, self.min_tokens)
 
 
 def year_keys(year: Column, rest: Column) -> Column:
@@ -145,14 +205,14 @@ def rare_tokens(tokens: DataFrame, k: int = RARE_TOKENS, share: float = RARE_SHA
     """rid and token: the ``k`` rarest tokens of each (rid, tokens) that occur in at most ``share`` of all rows with tokens.
 
     Of equally rare ones the first in the list; a repeated token takes a place for each time, as it isn't taken out of the list before.
+    The tokens are computed once; frequencies are combined before their shuffle, and only rare tokens are joined back.
     """
-    there = tokens.filter(F.size("tokens") > 0)
-    limit = there.agg(F.floor(F.count(F.lit(1)) * F.lit(share)).alias("limit"))
+    there = one_row_per_id(cut(tokens.select("rid", F.when(F.size("tokens") > 0, F.col("tokens")).alias("tokens"))), "rid")
+    limit = math.floor(there.agg(F.count("tokens")).first()[0] * share)
+    counts = there.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= limit)
     placed = there.select("rid", F.posexplode("tokens").alias("pos", "token"))
-    # frequency by token first (map-side combined), then only rare tokens are joined back
-    rare = placed.select("rid", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(limit), F.col("df") <= F.col("limit")).select("token", "df")
     rank = F.row_number().over(Window.partitionBy("rid").orderBy("df", "pos"))
-    return placed.join(rare, "token").withColumn("rank", rank).filter(F.col("rank") <= k).select("rid", "token").distinct()
+    return placed.join(counts.hint("merge"), "token").withColumn("rank", rank).filter(F.col("rank") <= k).select("rid", "token").distinct()
 
 
 class RareTokensBlocker(Blocker):
@@ -210,6 +270,12 @@ def generate_candidates(records: DataFrame, blockers: Iterable[Blocker]) -> Data
     return found.groupBy("rid_a", "rid_b").agg(F.array_sort(F.collect_list("source")).alias("sources")).select(ids.pair_id(F.col("rid_a"), F.col("rid_b")).alias("pair_id"), "rid_a", "rid_b", "sources")
 
 
+def large_blocks(keys: DataFrame, limit: int = LARGE_BLOCK) -> DataFrame:
+    """block_key and block_size of the blocks of more than ``limit`` records, the largest first."""
+    sizes = keys.select("rid", "block_key").distinct().groupBy("block_key").agg(F.count(F.lit(1)).alias("block_size"))
+    return sizes.filter(F.col("block_size") > limit).orderBy(F.desc("block_size"), "block_key")
+
+
 def block_statistics(keys: DataFrame, records: DataFrame) -> DataFrame:
     """One row: records_seen, records_keyed, unique_keys, blocks_gt1, pairs_raw, max_block and large_blocks of one blocker's (rid, block_key)."""
     sizes = keys.select("rid", "block_key").distinct().groupBy("block_key").agg(F.count(F.lit(1)).alias("n"))

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amalgam.functions import ids
 from amalgam.functions import score as S
-from amalgam.functions.compare import COMPARATORS
+from amalgam.functions.compare import COMPARATORS, FieldComparator
 from amalgam.session import latest_by
 
 #: What a comparison reads; raw tags, abstracts and provenance stay out of the joins.
 _USED = ("canon.doi_norm", "canon.pmid_norm", "canon.pmcid", "canon.title_norm_basic", "canon.first_author_sig", "canon.author_sig_strict", "canon.year_norm", "canon.journal_norm", "canon.pages_norm_long", "canon.page_first", "canon.article_number")
+_KEYS = ("keys.title_shingles", "keys.title_key_strict")
 _FLAGS = ("title_truncated", "pages_unreliable", "is_erratum_notice", "is_retraction_notice", "is_corrected_republished", "has_linked_citation")
 
 
-def slim(records: DataFrame) -> DataFrame:
-    """One row for each rid with what comparing and deciding needs; of repeated rids the one with the highest index in its file."""
-    canon = F.struct(*[F.col(p).alias(p.split(".")[1]) for p in _USED])
-    keys = F.struct(F.col("keys.title_shingles").alias("title_shingles"), F.col("keys.title_key_strict").alias("title_key_strict"))
-    flags = F.struct(*[F.col(f"flags.{f}").alias(f) for f in _FLAGS])
+def slim(records: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """One row for each rid with what comparing and deciding needs, and the fields of paths ``more``; of repeated rids the one with the highest index in its file."""
+    used = sorted({*_USED, *_KEYS, *(f"flags.{f}" for f in _FLAGS), *more})
+    canon, keys, flags = (F.struct(*[F.col(p).alias(p.split(".")[1]) for p in used if p.startswith(part)]) for part in ("canon.", "keys.", "flags."))
     rows = records.filter("rid is not null").select("rid", F.struct(canon.alias("canon"), keys.alias("keys"), flags.alias("flags")).alias("record"), F.col("meta.source_record_index").alias("index"))
     return latest_by(rows, "rid", "index").select("rid", "record")
 
@@ -31,12 +33,12 @@ def with_records(pairs: DataFrame, slims: DataFrame, how: str = "inner") -> Data
     return pairs.join(a, "rid_a", how).join(b, "rid_b", how)
 
 
-def with_scores(joined: DataFrame, model: S.Model) -> DataFrame:
+def with_scores(joined: DataFrame, model: S.Model, comparators: Sequence[FieldComparator] = COMPARATORS) -> DataFrame:
     """``joined`` (with columns a and b) with comparison, llr, p_match, top_contributions and warnings.
 
     Similarities, levels, weights and the sum are projected one after the other, so that none is computed twice.
     """
-    compared = {f.name: f.compare(lambda p: F.col(f"a.{p}"), lambda p: F.col(f"b.{p}")) for f in COMPARATORS}
+    compared = {f.name: f.compare(lambda p: F.col(f"a.{p}"), lambda p: F.col(f"b.{p}")) for f in comparators}
     level, weight = (lambda f: F.col(f"level_{f}__")), (lambda f: F.col(f"weight_{f}__"))
     sim = lambda f: F.col(f"sim_{f}__")
     df = joined.withColumns({f"sim_{f}__": c.sim for f, c in compared.items()})
@@ -55,16 +57,18 @@ def with_scores(joined: DataFrame, model: S.Model) -> DataFrame:
     )
 
 
-def score_pairs(pairs: DataFrame, records: DataFrame, model: S.Model | None = None) -> DataFrame:
-    """pair_id, rid_a, rid_b, candidate_sources, comparison (level, sim and weight of each field), llr, p_match, top_contributions, warnings and model.
+def score_pairs(pairs: DataFrame, records: DataFrame, model: S.Model | None = None, comparators: Sequence[FieldComparator] = COMPARATORS) -> DataFrame:
+    """pair_id, rid_a, rid_b, candidate_sources, comparison (level, sim and weight of each field), llr, p_match, explain (top_contributions), warnings and model.
 
-    Pairs of which a record isn't there are left out; ``missing_pairs`` gives them.
+    Pairs of which a record isn't there are left out; ``missing_pairs`` gives them. ``comparators`` of one's own read the fields that they name in
+    ``uses`` besides the usual ones; the model has to have weights for all of their levels.
     """
     model = model or S.Model()
     named = F.struct(F.lit(model.name).alias("name"), F.lit(model.version).alias("version"))
-    scored = with_scores(with_records(pairs, slim(records)), model)
+    more = [path for f in comparators for path in f.uses]
+    scored = with_scores(with_records(pairs, slim(records, more)), model, comparators)
     return scored.select(
-        ids.pair_id(F.col("rid_a"), F.col("rid_b")).alias("pair_id"), "rid_a", "rid_b", F.col("sources").alias("candidate_sources"), "comparison", "llr", "p_match", "top_contributions", "warnings", named.alias("model")
+        ids.pair_id(F.col("rid_a"), F.col("rid_b")).alias("pair_id"), "rid_a", "rid_b", F.col("sources").alias("candidate_sources"), "comparison", "llr", "p_match", F.struct("top_contributions").alias("explain"), "warnings", named.alias("model")
     )
 
 

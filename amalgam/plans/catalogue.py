@@ -19,6 +19,7 @@ from amalgam.operators import blocking, calibrate, cluster, decide, merge, pairs
 from amalgam.operators.components import connected_components
 from amalgam.operators.normalize import normalize
 from amalgam.schema import CANON, CANON_FIELDS, FLAGS, KEYS, META, RAW
+from amalgam.session import cut
 from amalgam.sinks.ris import to_ris
 from amalgam.sources.files import parse_files
 
@@ -205,8 +206,8 @@ def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     """WITH b AS (SELECT p_name, count(*) AS n FROM part GROUP BY p_name)
-SELECT (SELECT count(*) FROM part) AS records_seen, (SELECT count(DISTINCT p_partkey) FROM part) AS records_keyed, count(*) AS unique_keys, count_if(n > 1) AS blocks_gt1,
- CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs_raw, max(n) AS max_block, count_if(n > 1000) AS large_blocks FROM b"""
+SELECT (SELECT count(*) FROM part) AS records_seen, (SELECT count(DISTINCT p_partkey) FROM part) AS records_keyed, count(*) AS unique_keys, coalesce(count_if(n > 1), 0) AS blocks_gt1,
+ CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs_raw, max(n) AS max_block, coalesce(count_if(n > 1000), 0) AS large_blocks FROM b"""
 )
 def block_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("rid"), F.col("p_name").alias("block_key"))
@@ -313,7 +314,7 @@ def decide_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {_SCORED} SELECT count(*) AS pairs_in, count_if(decision = 'AUTO_DUP') AS auto_dup, count_if(decision = 'REVIEW') AS review, count_if(decision = 'AUTO_KEEP') AS auto_keep,
+    f"""WITH {_SCORED} SELECT count(*) AS pairs_in, coalesce(count_if(decision = 'AUTO_DUP'), 0) AS auto_dup, coalesce(count_if(decision = 'REVIEW'), 0) AS review, coalesce(count_if(decision = 'AUTO_KEEP'), 0) AS auto_keep,
  0::BIGINT AS forced_review_conflicting_ids, 0::BIGINT AS forced_review_special_records, 0::BIGINT AS forced_review_data_quality FROM d"""
 )
 def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,7 +407,7 @@ def singletons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""WITH RECURSIVE {_SCORED}, {_CLUSTERS}, t1 AS (SELECT count(*) AS total FROM p), t2 AS (SELECT count(*) AS alone FROM p WHERE rid NOT IN (SELECT rid FROM m)),
-t3 AS (SELECT count_if(status = 'AUTO') AS auto, count_if(status = 'REVIEW') AS review, coalesce(max(size) FILTER (status = 'AUTO'), 0) AS largest, coalesce(sum(size) FILTER (status = 'REVIEW'), 0) AS pending FROM cl)
+t3 AS (SELECT coalesce(count_if(status = 'AUTO'), 0) AS auto, coalesce(count_if(status = 'REVIEW'), 0) AS review, coalesce(max(size) FILTER (status = 'AUTO'), 0) AS largest, coalesce(sum(size) FILTER (status = 'REVIEW'), 0) AS pending FROM cl)
 SELECT total AS records_in_total, auto AS clusters_auto_in, review AS clusters_review_in, auto AS auto_clusters_merged, largest AS max_cluster_size_merged, 0::BIGINT AS records_not_found, alone AS singletons_count,
  auto AS records_out_deduped_auto, CAST(pending AS BIGINT) AS records_out_review_pending, alone + auto AS records_out_unique_total, round(1 - (alone + auto) / total, 4) AS dedup_rate FROM t1, t2, t3"""
 )
@@ -451,9 +452,8 @@ SELECT 'm:' || sha256(rids)[1:12] AS merged_id, survivor AS survivor_rid, n AS n
 )
 def dedup_merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents: pairs with the same text, scored and decided, clusters and one merged record for each that is consistent."""
-    from amalgam.session import cut
-
-    records = document_records(spark, sf_dir)
+    # as in a run over files, records are computed once
+    records = cut(document_records(spark, sf_dir))
     candidates = blocking.generate_candidates(records, (TitleBlocker(),))
     decisions = cut(decide.decide(pairs.score_pairs(candidates, records), records))
     merged = merge.merge_clusters(cluster.build_clusters(decisions, records), records)

@@ -51,6 +51,17 @@ PAIRS = "pair_id string, rid_a string, rid_b string, sources array<struct<blocke
 CALIBRATION = "pair_id string, p_match double, is_duplicate boolean"
 DECISIONS = "pair_id string, rid_a string, rid_b string, p_match double, decision string, reasons array<struct<code:string>>, warnings array<string>"
 
+_LEVEL = "struct<level:string,sim:double,weight:double>"
+SCORES = (
+    "pair_id string, rid_a string, rid_b string, candidate_sources array<struct<blocker:string,block_key:string,match_key:string>>, "
+    f"comparison struct<{','.join(f'{f}:{_LEVEL}' for f in ('doi', 'pmid', 'title', 'authors', 'year', 'journal', 'pages'))}>, llr double, p_match double, "
+    "explain struct<top_contributions:array<struct<field:string,level:string,weight:double>>>, warnings array<string>, model struct<name:string,version:string>"
+)
+CLUSTERS = (
+    "cluster_id string, status string, rids array<string>, support struct<edges_auto_dup:int,strong_edge_count:int,sources:map<string,int>>, "
+    "consistency struct<hard_conflicts:array<string>,soft_conflicts:array<string>,notes:array<string>>"
+)
+
 
 def struct_type(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)

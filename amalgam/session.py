@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,14 +13,39 @@ BROADCAST_IDS = 1_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a folder of its own only where the session names none."""
+    """The checkpoint folder of the session, which all executors share: ``spark.checkpoint.dir``. Only a local session may leave it out; it gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="amalgam-checkpoint-")
-        context.setCheckpointDir(named)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="amalgam-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple[object, object]:
+    """A path and its file system, whatever the scheme."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    target, files = hadoop_path(spark, path)
+    files.delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, or, for a pattern, one that matches."""
+    target, files = hadoop_path(spark, path)
+    return files.exists(target) or bool(files.globStatus(target))
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target, files = hadoop_path(spark, path)
+    return files.exists(target) and files.getFileStatus(target).isDirectory()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the checkpoint folder; it survives the loss of executors."""
     checkpoint_dir(df.sparkSession)

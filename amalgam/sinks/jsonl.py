@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from amalgam.sinks.files import write_one_file
+
 
 def in_key_order(value: Column, kind: T.DataType) -> Column:
     """The same value with the fields of all structs in order of their names."""
@@ -19,11 +21,11 @@ def in_key_order(value: Column, kind: T.DataType) -> Column:
     return value
 
 
-def to_json_lines(df: DataFrame, sort_keys: bool = True) -> DataFrame:
-    """A single column ``value``."""
+def to_json_lines(df: DataFrame, sort_keys: bool = True, *beside: str) -> DataFrame:
+    """A single column ``value``, and the columns ``beside`` it."""
     fields = sorted(df.schema.fields, key=lambda f: f.name) if sort_keys else df.schema.fields
     row = F.struct(*[(in_key_order(F.col(f.name), f.dataType) if sort_keys else F.col(f.name)).alias(f.name) for f in fields])
-    return df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(*beside, F.to_json(row, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_jsonl(df: DataFrame, path: str, order: str | None = None, single: bool = False, sort_keys: bool = True) -> None:
@@ -32,3 +34,8 @@ def write_jsonl(df: DataFrame, path: str, order: str | None = None, single: bool
     if order:
         rows = rows.sortWithinPartitions(order)
     to_json_lines(rows, sort_keys).write.mode("overwrite").text(path)
+
+
+def write_jsonl_file(df: DataFrame, path: str, order: str, sort_keys: bool = True) -> str:
+    """One file of JSON lines, sorted by ``order``; each line is ended."""
+    return write_one_file(to_json_lines(df, sort_keys, order), path, order)

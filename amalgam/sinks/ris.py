@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from amalgam.sinks.files import write_one_file
+
 LINE_END = "\r\n"
 
 
@@ -37,14 +39,23 @@ def ris_text(canon: Column, languages: Column) -> Column:
     )
 
 
-def to_ris(df: DataFrame, order: str) -> DataFrame:
-    """A single column ``value`` of RIS records; ``df`` has canon (language a string or a list) and the column to sort each part by."""
+def _values(df: DataFrame, order: str) -> DataFrame:
     language = df.schema["canon"].dataType["language"].dataType.simpleString()
     languages = F.col("canon.language") if language.startswith("array") else F.when(F.col("canon.language") != "", F.array("canon.language"))
-    return df.sortWithinPartitions(order).select(ris_text(F.col("canon"), languages).alias("value"))
+    return df.select(order, ris_text(F.col("canon"), languages).alias("value"))
+
+
+def to_ris(df: DataFrame, order: str) -> DataFrame:
+    """A single column ``value`` of RIS records; ``df`` has canon (language a string or a list) and the column to sort each part by."""
+    return _values(df, order).sortWithinPartitions(order).select("value")
 
 
 def write_ris(df: DataFrame, path: str, order: str, single: bool = False) -> None:
     """Text parts of records with a blank line between; ``single`` gives one part in global order, for small results."""
     rows = df.coalesce(1) if single else df
     to_ris(rows, order).write.mode("overwrite").option("lineSep", LINE_END * 2).text(path)
+
+
+def write_ris_file(df: DataFrame, path: str, order: str, line_end: str = LINE_END) -> str:
+    """One RIS file of merged or of single records (anything with canon), sorted by ``order``: a blank line between records, nothing after the last one."""
+    return write_one_file(_values(df, order), path, order, line_end * 2, ended=False)

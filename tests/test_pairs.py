@@ -119,7 +119,7 @@ def test_pair_scores_and_decisions(spark, records):
     found = place(records, scores)
     assert found[0, 1]["comparison"]["doi"]["level"] == "exact" and found[0, 1]["comparison"]["year"]["level"] == "pm1"
     assert found[0, 2]["comparison"]["year"]["level"] == "pm2" and found[0, 2]["comparison"]["journal"]["level"] == "low"
-    assert [c["field"] for c in found[0, 1]["top_contributions"]][:2] == ["doi", "title"] and len(found[0, 1]["top_contributions"]) == 5
+    assert [c["field"] for c in found[0, 1]["explain"]["top_contributions"]][:2] == ["doi", "title"] and len(found[0, 1]["explain"]["top_contributions"]) == 5
     decided = place(records, decide.decide(scores, records))
     assert decided[0, 1]["decision"] == "AUTO_DUP" and decided[0, 1]["reasons"][0]["code"] == "p_above_t_high"
     lost = candidates.union(spark.createDataFrame([("x|y", "x", "y", [])], candidates.schema))

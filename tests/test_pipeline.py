@@ -3,10 +3,15 @@ from pathlib import Path
 
 import pytest
 
-from amalgam import api, cli
-from amalgam.audit import AuditLogger, ManifestWriter, RunContext
+from amalgam import CanonicalRecord, api, cli
+from amalgam.audit import AuditLogger, ManifestWriter, RunContext, schemas
 from amalgam.engine import PipelineConfig, run_pipeline
-from amalgam.sinks.jsonl import write_jsonl
+from amalgam.operators.normalize import normalize
+from amalgam.records import to_frame
+from amalgam.sinks.jsonl import write_jsonl, write_jsonl_file
+from amalgam.sinks.ris import write_ris_file
+from amalgam.sources.files import bibliographic_files, parse_files
+from amalgam.sources.tables import read_canonical, read_clusters, read_decisions, read_scores
 from amalgam.streaming.files import append_records, stream_records
 from tests import samples
 
@@ -15,6 +20,8 @@ TEXT = samples.ris(PAIR, PAIR | {"AB": "text", "PM": "7"}, {"TI": "Alone", "PY":
 
 
 def lines(path):
+    if Path(path).is_file():
+        return [json.loads(x) for x in Path(path).read_text().splitlines()]
     return [json.loads(x) for f in sorted(Path(path).glob("part-*")) for x in f.read_text().splitlines()]
 
 
@@ -27,14 +34,59 @@ def test_whole_run(spark, tmp_path):
     assert result.dedup_rate == pytest.approx(1 / 3, abs=1e-4)
     (merged,) = lines(result.output_files["merged_records"])
     assert merged["canon"]["pmid_norm"] == "7" and list(merged) == sorted(merged) and merged["canon"]["abstract_raw"] == "text"
-    text = "".join(p.read_text(newline="") for p in Path(result.output_files["deduplicated_ris"]).glob("part-*"))
-    assert text.startswith("TY  - JOUR\r\nTI  - A common title\r\nAB  - text\r\nAU  - Smith, John\r\n") and "ER  -" in text
+    text = Path(result.output_files["deduplicated_ris"]).read_bytes().decode()
+    assert text.startswith("TY  - JOUR\r\nTI  - A common title\r\nAB  - text\r\nAU  - Smith, John\r\n") and text.endswith("ER  -")
     assert "singletons_ris" in result.output_files and "review_pending_ris" not in result.output_files
     summary = json.loads(Path(result.output_files["merge_summary"]).read_text())
     assert summary["singletons_count"] == 1 and summary["execution_time_seconds"] > 0
     assert json.loads(Path(result.output_files["ingestion_report"]).read_text())["total_records"] == 3
-    again = run_pipeline(tmp_path / "in", PipelineConfig(output_dir=tmp_path / "out2", single_files=True), spark=spark)
+    scoring = json.loads(Path(result.output_files["scoring_statistics"]).read_text())
+    assert (scoring["pairs_in"], scoring["pairs_scored"], scoring["pairs_skipped_missing_records"]) == (1, 1, 0) and sum(scoring["p_match_buckets"].values()) == 1 and "title_truncated_pairs" in scoring["warnings"]
+    blocks = json.loads(Path(result.output_files["candidate_statistics"]).read_text())
+    assert blocks["blockers"]["doi_exact"]["max_block"] == 2 and not blocks["oversized_blocks"]
+    (decision,) = lines(result.output_files["decisions"])
+    assert decision["thresholds"]["t_high"] == 0.95 and decision["conformal"] is None and decision["np"] is None
+    with AuditLogger("r", tmp_path / "events.jsonl") as log:
+        again = run_pipeline(f"file://{tmp_path}/in", PipelineConfig(output_dir=tmp_path / "out2"), spark=spark, logger=log)
     assert lines(again.output_files["merged_records"]) == [merged]
+    assert not [p for line in lines(tmp_path / "events.jsonl") for p in schemas.problems(line, schemas.event_schema())] and len(lines(tmp_path / "events.jsonl")) == 12
+
+
+def test_calibrated_decisions_say_by_what(spark, tmp_path):
+    (tmp_path / "a.ris").write_text(TEXT)
+    rows = [{"pair_id": f"p{i}", "p_match": (0.95 if i < 250 else 0.1) + i / 100_000, "is_duplicate": i < 250} for i in range(500)]
+    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    config = PipelineConfig(output_dir=tmp_path / "out", single_files=True, calibration=str(tmp_path / "c.jsonl"), conformal_delta=0.05)
+    result = run_pipeline(tmp_path / "a.ris", config, spark=spark)
+    assert result.success, result.error_message
+    (decision,) = lines(result.output_files["decisions"])
+    assert decision["conformal"]["method"] == "scrc_i" and decision["np"]["method"] == "neyman_pearson" and decision["np"]["calibration_size"] == 500
+    assert decision["thresholds"]["t_high_np"] <= 0.96 and list(read_decisions(spark, result.output_files["decisions"]).first()["reasons"][0].asDict()) == ["code"]
+
+
+def test_written_stages_are_read(spark, tmp_path):
+    (tmp_path / "a.ris").write_text(TEXT)
+    out = run_pipeline(tmp_path / "a.ris", PipelineConfig(output_dir=tmp_path / "out"), spark=spark).output_files
+    assert read_clusters(spark, out["clusters"]).filter("status = 'AUTO'").first()["support"]["edges_auto_dup"] == 1
+    assert read_scores(spark, out["scored_pairs"]).first()["explain"]["top_contributions"][0]["field"] == "doi"
+    (tmp_path / "d.jsonl").write_text('{"pair_id": "a|b", "rid_a": "a", "rid_b": "b", "decision": "AUTO_DUP", "reasons": ["doi_exact", {"code": "x"}]}\n')
+    row = read_decisions(spark, str(tmp_path / "d.jsonl")).first()
+    assert row["p_match"] == 0.0 and [r["code"] for r in row["reasons"]] == ["doi_exact", "x"]
+    record = CanonicalRecord.from_row(read_canonical(spark, out["canonical_records"]).filter("canon.title_raw = 'Alone'").first())
+    assert record.canon.title_raw == "Alone" and record.flags.doi_present is False and record.raw.tags[0].tag == "TY"
+    assert CanonicalRecord.from_dict(json.loads(json.dumps(record.to_dict()))) == record and to_frame(spark, [record]).first()["rid"] == record.rid
+    bare = CanonicalRecord.from_dict({"rid": "r", "raw": {"tags": [{"tag": "TI"}]}, "odd": 1})
+    assert bare.raw.tags[0].value_lines == [] and bare.meta.source_format == "unknown" and bare.canon.authors_raw is None and bare.provenance == {}
+
+
+def test_single_files(spark, tmp_path):
+    rows = spark.range(50).selectExpr("cast(50 - id as int) as n", "struct(concat('T', id) as title_raw) as canon").repartition(7)
+    full = normalize(parse_files(bibliographic_files(spark, str(samples.write_all(tmp_path))))).select("rid", "canon")
+    text = Path(write_ris_file(full, str(tmp_path / "o.ris"), "rid", line_end="\n")).read_text()
+    assert text.count("ER  -") == 9 and text.count("ER  -\n\nTY") == 8 and text.endswith("ER  -")
+    found = lines(write_jsonl_file(rows, str(tmp_path / "o.jsonl"), "n"))
+    assert [r["n"] for r in found] == list(range(1, 51)) and not list(tmp_path.glob("*.parts-*"))
+    assert Path(write_jsonl_file(rows.limit(0), str(tmp_path / "e.jsonl"), "n")).read_text() == ""
 
 
 def test_failures_are_reported(spark, tmp_path):
@@ -117,3 +169,21 @@ def test_audit(tmp_path):
     assert len((tmp_path / "log.jsonl").read_text().splitlines()) == 2
     with pytest.raises(ValueError, match="no such stage"):
         ManifestWriter("r", tmp_path, {}, {}, "v", {}).finish_stage("none")
+
+
+def test_audit_documents_follow_their_schemas(tmp_path):
+    with RunContext.start(tmp_path / "run", {"x": 1}, ["cmd"]) as run:
+        run.start_stage("one", 5)
+        run.logger.record_flagged("flag", "code", rid="r")
+        run.finish_stage("one", {"n": 5})
+        run.record_error(ValueError("no"), stage="one")
+    manifest, events = schemas.manifest_schema(), schemas.event_schema()
+    written = json.loads((tmp_path / "run" / "run.json").read_text())
+    assert schemas.problems(written, manifest) == [] and all(schemas.problems(e, events) == [] for e in lines(tmp_path / "run" / "events.jsonl"))
+    assert schemas.problems(written | {"status": "odd"}, manifest) and schemas.problems({k: v for k, v in written.items() if k != "run_id"}, manifest)
+    good = {"ts": "2024-01-01T00:00:00.0Z", "run_id": "r", "level": "INFO", "event": "stage_started", "stage": "s", "data": {}}
+    assert schemas.problems(good, events) == []
+    for bad in ({"level": "LOUD"}, {"event": "other"}, {"stage": None}, {"ts": "today"}, {"event": "artifact_written", "data": {"path": "p", "sha256": "short"}}, {"event": "run_finished", "data": {"status": "success", "duration_seconds": -1}}):
+        assert schemas.problems(good | bad, events), bad
+    for name, schema in (("log_event", events), ("run_manifest", manifest)):
+        assert json.loads((Path(__file__).parents[1] / "schemas" / f"{name}.schema.json").read_text()) == schema
