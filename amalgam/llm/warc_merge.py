@@ -7,18 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amalgam.session import cut
 
-#: Captures that a run has at most; longer inputs of a task give several runs.
-RUN_ROWS = 200_000
+#: Captures that a run has at most (longer inputs of a task give several runs), and captures of a key range on average.
+RUN_ROWS, RANGE_ROWS = 200_000, 200_000
 #: The first capture's time and the seconds between captures, for pages that carry no time of their own.
 CRAWL_START, CRAWL_STEP = "2024-01-01 00:00:00", 37
 
 SCHEMA = "url_key string, captured_at timestamp, page_id bigint, digest string"
-MERGED = "url_key string, captured_at timestamp, page_id bigint, capture_no int, n_captures bigint, previous_at timestamp, changed boolean, part bigint, place bigint"
+MERGED = "url_key string, captured_at timestamp, page_id bigint, digest string, capture_no bigint, n_captures bigint, previous_at timestamp, changed boolean, part bigint, place bigint"
 RESULT = ["global_rank", "url_key", "captured_at", "page_id", "capture_no", "n_captures", "previous_at", "changed"]
 
 
@@ -105,14 +105,12 @@ def _form_runs(batches: Iterator[pa.RecordBatch], run_rows: int) -> Iterator[pa.
 
 
 def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the runs' shares of one key range; each row gets the partition and its place in it."""
-    held = list(batches)
-    if not sum(map(len, held)):
+    """Merge the runs' shares of one key range, which come one after the other; histories are counted within the range."""
+    held = [batch for batch in batches if len(batch)]
+    if not held:
         return
     table = pa.Table.from_batches(held)
-    task, run, seq = (table[c].to_numpy() for c in ("task", "run", "seq"))
-    by_run = np.lexsort((seq, run, task))
-    table, task, run = table.take(by_run), task[by_run], run[by_run]
+    task, run = (table[c].to_numpy() for c in ("task", "run"))
     cuts = [0, *(np.flatnonzero((np.diff(task) != 0) | (np.diff(run) != 0)) + 1).tolist(), len(task)]
     keys = _keys(table)
     order = np.fromiter((cuts[r] + i for r, i in LoserTree([keys[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])), np.int64, len(task))
@@ -126,7 +124,7 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     changed[1:] |= digest[1:] != digest[:-1]
     before = pa.array(np.maximum(np.arange(len(out)) - 1, 0), mask=first)
     for name, value in (
-        ("capture_no", pa.array(np.arange(len(out)) - np.repeat(start, length) + 1, pa.int32())),
+        ("capture_no", pa.array(np.arange(len(out)) - np.repeat(start, length) + 1, pa.int64())),
         ("n_captures", pa.array(np.repeat(length, length), pa.int64())),
         ("previous_at", out["captured_at"].combine_chunks().take(before)),
         ("changed", pa.array(changed)),
@@ -134,28 +132,72 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ("place", pa.array(np.arange(len(out)), pa.int64())),
     ):
         out = out.append_column(name, value)
-    yield from out.drop_columns("digest").to_batches(max_chunksize=10_000)
+    yield from out.to_batches(max_chunksize=10_000)
 
 
-def merge_captures(captures: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+def _stitches(merged: DataFrame) -> list[tuple]:
+    """For each range, in order: its number, the captures before it, how many of its first URL's captures are before it and when the last of these was
+    and its digest, whether there is one, and the captures of its first and of its last URL in all ranges.
+
+    One row a range comes to the driver.
+    """
+    ends = (
+        merged.groupBy("part")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.min_by(F.struct("url_key", "n_captures"), "place").alias("first"),
+            F.max_by(F.struct("url_key", "n_captures", F.unix_micros("captured_at").alias("at"), "digest"), "place").alias("last"),
+        )
+        .orderBy("part")
+        .collect()
+    )
+    totals: dict[str, int] = {}
+    for r in ends:
+        for side in {r["first"]["url_key"]: r["first"]["n_captures"], r["last"]["url_key"]: r["last"]["n_captures"]}.items():
+            totals[side[0]] = totals.get(side[0], 0) + side[1]
+    out, before, seen, last = [], 0, 0, None
+    for r in ends:
+        same = last is not None and last["url_key"] == r["first"]["url_key"]
+        seen = seen if same else 0
+        out.append((r["part"], before, r["first"]["url_key"], seen, same, last["at"] if same else None, last["digest"] if same else None, totals[r["first"]["url_key"]], r["last"]["url_key"], totals[r["last"]["url_key"]]))
+        before += r["rows"]
+        seen = r["last"]["n_captures"] + (seen if r["first"]["url_key"] == r["last"]["url_key"] else 0)
+        last = r["last"]
+    return out
+
+
+def merge_captures(captures: DataFrame, run_rows: int = RUN_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Globally ordered capture histories of (url_key, captured_at, page_id, digest).
 
-    Each task sorts its rows into runs. Runs are cut at common key boundaries (one sampling pass), and each key range is merged by a loser
-    tree, so that ranges follow each other in global order. Columns: global_rank (from 1), url_key, captured_at, page_id, capture_no and
-    n_captures in the URL's history, previous_at, and changed: whether the digest differs from the previous capture's (true for the first).
+    Each task sorts its rows into runs, which are written. They are cut at common boundaries into ranges of about ``range_rows`` captures, by URL key,
+    time and all else that orders captures, so that a URL with many captures is cut too; each range is merged by a loser tree, and ranges follow each other
+    in global order. Histories that go on from one range to the next are put together from the ends of the ranges. Columns: global_rank (from 1), url_key,
+    captured_at, page_id, capture_no and n_captures in the URL's history, previous_at, and changed: whether the digest differs from the previous
+    capture's (true for the first).
 
-    * A null url_key has no history: such rows are left out. Null times come first in their history.
-    * Ties in key and time go by page_id, then digest; repeated rows all stay, one after the other.
-    * An empty table gives an empty result. Only the four columns are used, so further columns don't matter.
+    * A null url_key has no history: such rows are left out. An empty one is a URL like any. Null times come first in their history, then null page_ids.
+    * Ties in key and time go by page_id, then digest (null as an empty one); repeated rows all stay, one after the other. A null digest equals only a null one.
+    * URLs of any length are compared whole. An empty table gives an empty result. Only the four columns are used, so further columns don't matter.
     """
     wanted = captures.select("url_key", "captured_at", F.col("page_id").cast("bigint").alias("page_id"), "digest").filter("url_key is not null")
     extra = ", task bigint, run bigint, seq bigint"
-    runs = wanted.mapInArrow(lambda it: _form_runs(it, run_rows), SCHEMA + extra)
-    merged = cut(runs.repartitionByRange("url_key").mapInArrow(_merge_runs, MERGED))
-    sizes = merged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
-    # one row for each partition, so this window is small
-    before = sizes.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
-    return merged.join(F.broadcast(before), "part").withColumn("global_rank", F.col("before") + F.col("place") + 1).select(*RESULT)
+    runs = cut(wanted.mapInArrow(lambda it: _form_runs(it, run_rows), SCHEMA + extra))
+    ranges = max(1, -(-runs.count() // range_rows))
+    order = ["url_key", "captured_at", "page_id", F.coalesce("digest", F.lit("")), "task", "run", "seq"]
+    merged = cut(runs.repartitionByRange(ranges, *order).sortWithinPartitions("task", "run", "seq").mapInArrow(_merge_runs, MERGED))
+    named = "part bigint, before bigint, first_key string, seen bigint, goes_on boolean, last_at bigint, last_digest string, first_total bigint, last_key string, last_total bigint"
+    # one row for each range
+    ends = merged.sparkSession.createDataFrame(_stitches(merged), named)
+    leads = F.col("goes_on") & (F.col("place") == 0)
+    return (
+        merged.join(F.broadcast(ends), "part")
+        .withColumn("global_rank", F.col("before") + F.col("place") + 1)
+        .withColumn("changed", F.when(leads, ~F.col("digest").eqNullSafe(F.col("last_digest"))).otherwise(F.col("changed")))
+        .withColumn("previous_at", F.when(leads, F.timestamp_micros("last_at")).otherwise(F.col("previous_at")))
+        .withColumn("capture_no", (F.col("capture_no") + F.when(F.col("url_key") == F.col("first_key"), F.col("seen")).otherwise(0)).cast("int"))
+        .withColumn("n_captures", F.when(F.col("url_key") == F.col("first_key"), F.col("first_total")).when(F.col("url_key") == F.col("last_key"), F.col("last_total")).otherwise(F.col("n_captures")))
+        .select(*RESULT)
+    )
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
