@@ -6,7 +6,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from amalgam.session import cut
+from amalgam.session import BROADCAST_IDS, cut
 
 #: Least part of labelled URLs, and least number of them, that a rule's tokens occur in together with the label; least confidence.
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 5, 0.4
@@ -39,44 +39,44 @@ def url_tokens(url: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """rule_id (its tokens, joined by " & "), tokens, n_urls (with the tokens), n_low (also with the label) and confidence, from (tokens, low).
+    """rule_id (its tokens, joined by " & "), tokens, rarest (its token in the fewest labelled URLs), n_urls (with the tokens), n_low (also with the label)
+    and confidence, from (tokens, low).
 
-    Kept are rules with enough support and confidence of which no part is a rule that is at least as confident.
+    Kept are rules with enough support and confidence of which no part is a rule that is at least as confident. Null and empty tokens make no rule.
     """
     items = cut(labelled.select(F.when(F.col("low"), F.array_append("tokens", F.lit(LOW))).otherwise(F.col("tokens")).alias("items")).filter("size(items) > 0"))
     n = items.count()
-    schema = "rule_id string, tokens array<string>, n_urls bigint, n_low bigint, confidence double"
+    schema = "rule_id string, tokens array<string>, rarest string, n_urls bigint, n_low bigint, confidence double"
     if not n:
         return labelled.sparkSession.createDataFrame([], schema)
     sets = cut(FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n))).fit(items).freqItemsets)
     counted = sets.filter(~F.array_contains("items", LOW)).select(F.array_join(F.array_sort("items"), " & ").alias("rule_id"), F.col("freq").alias("n_urls"))
     hits = sets.filter(F.array_contains("items", LOW) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", LOW)).alias("tokens"), F.col("freq").alias("n_low"))
-    rules = cut(
+    confident = (
         hits.withColumn("rule_id", F.array_join("tokens", " & "))
         .join(counted, "rule_id")
         .withColumn("confidence", F.col("n_low") / F.col("n_urls"))
         .filter(F.col("confidence") >= min_confidence)
     )
+    alone = sets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq").alias("n_token"))
+    rarest = confident.select("rule_id", F.explode("tokens").alias("token")).join(alone, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("n_token", "token")).alias("rarest"))
+    rules = cut(confident.join(rarest, "rule_id"))
     parts = match_rules(rules.select(F.col("rule_id").alias("key"), "tokens"), rules)
     whole = rules.select(F.col("rule_id").alias("key"), F.col("confidence").alias("own"))
     beaten = parts.filter("key <> rule_id").join(whole, "key").filter("confidence >= own").select(F.col("key").alias("rule_id")).distinct()
-    return cut(rules.join(beaten, "rule_id", "left_anti").select("rule_id", "tokens", "n_urls", "n_low", "confidence"))
+    return cut(rules.join(beaten, "rule_id", "left_anti").select("rule_id", "tokens", "rarest", "n_urls", "n_low", "confidence"))
 
 
 def match_rules(keyed: DataFrame, rules: DataFrame) -> DataFrame:
     """key, rule_id and confidence of the rules all of whose tokens a key has; keys and their tokens are distinct.
 
-    An inverted index: rules by token; a rule matches where as many of its tokens are found as it has.
+    An inverted index: each rule is listed under its rarest token only, so that tokens of nearly all URLs list hardly any. The index is broadcast if it
+    has few enough rules; else it is joined by a shuffle. Keys without tokens match nothing; without rules nothing matches.
     """
-    index = rules.select("rule_id", "confidence", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    return (
-        keyed.select("key", F.explode("tokens").alias("token"))
-        .join(index, "token")
-        .groupBy("key", "rule_id")
-        .agg(F.count(F.lit(1)).alias("found"), F.first("size").alias("size"), F.first("confidence").alias("confidence"))
-        .filter("found = size")
-        .select("key", "rule_id", "confidence")
-    )
+    index = rules.select("rule_id", "confidence", F.col("tokens").alias("needed"), F.col("rarest").alias("token"))
+    index = F.broadcast(index) if index.count() * 8 <= BROADCAST_IDS else index.hint("merge")
+    found = keyed.select("key", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    return found.filter(F.size(F.array_except("needed", "tokens")) == 0).select("key", "rule_id", "confidence")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, **parameters: float) -> DataFrame:
@@ -84,8 +84,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, **parameters: float) -> Dat
 
     Rules are mined from the pages that ``labels`` (doc_id is the page_id, quality 0 or 1) covers; a page with labels of both kinds counts as low.
 
-    * Null URL, or one without a token: no rule, not blocked. Null page_id: matched like any, but not labelled. Repeated rows: one row each.
-    * The best rule is the most confident one; of equals the first in order. Without labels there are no rules.
+    * Null or empty URL, or one without a token: no rule, not blocked. Null page_id: matched like any, but not labelled. Repeated rows: one row each.
+    * Whole URLs at any length. The best rule is the most confident one; of equals the first in order. Without labels there are no rules.
     * Only the named columns are used, so further columns don't matter.
     """
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
