@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Components of a vector.
 DIM = 1024
 SEED = 4
-#: n-gram vectors that a worker keeps; beyond that it starts afresh.
-KEPT = 40_000
+#: n-gram vectors that a worker keeps; beyond that it starts afresh. Groups in which a language's partial sums are added up.
+KEPT, FAN_IN = 40_000, 16
 _SPACE = 32
 _BITS = 21
 
@@ -123,7 +124,9 @@ def train_profiles(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> tuple[l
     """Languages in order and their prototypes (unit length), from every document that has a language and letters.
 
     The trigrams of a language are counted over all its documents; the prototype is the bundle of their vectors, which equals the sum of
-    its documents' bundles. The vectors are added up in the tasks, so that the driver gets one vector a language and task.
+    its documents' bundles. The vectors are added up in the tasks, then in ``FAN_IN`` groups a language, so that the driver gets as many vectors at most.
+
+    Null or empty texts, texts without a letter and null languages count nowhere; a repeated row counts again. An empty table gives no language.
     """
     counts = (
         docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -141,10 +144,15 @@ def train_profiles(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> tuple[l
                 own = langs == lang
                 sums[lang] = sums.get(lang, 0) + grams.bundle(codes[own], n[own], np.float64)
         if sums:
-            yield pa.record_batch({"lang": pa.array(list(sums), pa.string()), "v": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))})
+            group = pa.array([TaskContext.get().partitionId() % FAN_IN] * len(sums), pa.int32())
+            yield pa.record_batch({"lang": pa.array(list(sums), pa.string()), "g": group, "v": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))})
+
+    def added(table: pa.Table) -> pa.Table:
+        v = table["v"].combine_chunks().flatten().to_numpy().reshape(len(table), dim).sum(0)
+        return pa.table({"lang": table["lang"][:1].cast(pa.string()), "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
 
     # sums of whole numbers in doubles, so they don't depend on the order
-    parts = counts.mapInArrow(bundles, "lang string, v array<double>").toPandas()
+    parts = counts.mapInArrow(bundles, "lang string, g int, v array<double>").groupBy("lang", "g").applyInArrow(added, "lang string, v array<double>").toPandas()
     langs = sorted(set(parts["lang"]))
     prototypes = np.zeros((len(langs), dim))
     for lang, v in zip(parts["lang"], parts["v"], strict=True):
@@ -168,7 +176,7 @@ def identify_languages(docs: DataFrame, profiles: tuple[list[str], np.ndarray],
             names, best, margin = [], [], []
             for text in batch["text"].to_pylist():
                 codes = ngram_codes(text) if langs else ()
-                v = grams.bundle(*np.unique(codes, return_counts=True)) if len(codes) else None
+                v = grams.bundle(*np.unique(codes, return_counts=True), np.float64 if len(codes) >= 1 << 24 else np.float32) if len(codes) else None
                 if v is None or not (norm := np.linalg.norm(v)):
                     names.append(None), best.append(None), margin.append(None)
                     continue
