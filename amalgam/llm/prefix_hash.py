@@ -17,6 +17,8 @@ MODULUS = (1 << 61) - 1
 BASE = 2251055966835893287
 #: Characters at the beginning that documents have in common for their extensions to be looked up.
 ANCHOR = 32
+#: Documents that are compared with one copy of their anchor's text on average.
+SALT_DOCS = 512
 #: Characters by which texts are dealt to ranges before whole texts are sorted in each; their sample goes to the driver.
 HEAD = 200
 _M, _LOW, _29, _32, _61 = np.uint64(MODULUS), np.uint64(0xFFFFFFFF), np.uint64(29), np.uint64(32), np.uint64(61)
@@ -112,7 +114,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], anchor: int) -> Iterator[pa
         for text in batch["text"].to_pylist():
             hashes = PrefixHashes(text, powers)
             lengths.append(hashes.n), prints.append(hashes.fingerprint()), heads.append(int(hashes.sums[anchor]) if hashes.n >= anchor else None)
-        yield pa.record_batch({"doc_id": batch["doc_id"], "n_chars": pa.array(lengths, pa.int64()), "fingerprint": pa.array(prints, pa.int64()), "head": pa.array(heads, pa.int64())})
+        yield pa.record_batch({"doc_id": batch["doc_id"], "print": batch["print"], "n_chars": pa.array(lengths, pa.int64()), "fingerprint": pa.array(prints, pa.int64()), "head": pa.array(heads, pa.int64())})
 
 
 def _extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,27 +133,30 @@ def _extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_documents(docs: DataFrame, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_chars, fingerprint, copy_of, anchor_id, common_prefix and common_suffix, one row for each doc_id.
 
-    ``copy_of`` is the least doc_id with the same length and fingerprint. Of texts that differ, those that begin with the same ``anchor``
+    ``copy_of`` is the least doc_id with the same length, fingerprint and MD5. Of texts that differ, those that begin with the same ``anchor``
     characters (an equal span) are compared with the one of the least doc_id, ``anchor_id``: how many characters the two have in common
     from the beginning, and how many at the end of what remains. The three are null for that document itself, for copies and where no other begins alike.
-    Another document may agree for longer, or only at the end: ``longest_extensions`` finds that.
+    Another document may agree for longer, or only at the end: ``longest_extensions`` finds that. Where many documents begin alike, their anchor's text goes
+    to as many tasks as they need.
 
     * Null text: n_chars and all after it are null. Empty text: length 0 and fingerprint 0. Null doc_id: left out.
-    * Fewer than ``anchor`` characters: no anchor. Repeated rows of a doc_id: one row; the one with the least text counts.
+    * Fewer than ``anchor`` characters: no anchor. Repeated rows of a doc_id: one row; the one with the least text counts. Ties have the least doc_id.
     * An empty table gives an empty result. Whole texts at any length. Only doc_id and text are used, so further columns don't matter.
     """
     docs = one_row_per_id(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null"), "doc_id")
     known = docs.filter("text is not null")
-    prints = cut(known.mapInArrow(lambda it: _fingerprints(it, anchor), "doc_id bigint, n_chars bigint, fingerprint bigint, head bigint"))
-    firsts = prints.groupBy("n_chars", "fingerprint").agg(F.min("doc_id").alias("copy_of"), F.min("head").alias("head"))
-    anchors = firsts.filter("head is not null").groupBy("head").agg(F.min("copy_of").alias("anchor_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("head", "anchor_id")
-    pairs = cut(firsts.join(anchors, "head").filter("copy_of <> anchor_id").select(F.col("copy_of").alias("doc_id"), "anchor_id"))
-    leads = cut(pairs.select(F.col("anchor_id").alias("doc_id")).distinct())
+    prints = cut(known.withColumn("print", F.unhex(F.md5("text"))).mapInArrow(lambda it: _fingerprints(it, anchor), "doc_id bigint, print binary, n_chars bigint, fingerprint bigint, head bigint"))
+    same = ["n_chars", "fingerprint", "print"]
+    firsts = prints.groupBy(*same).agg(F.min("doc_id").alias("copy_of"), F.min("head").alias("head"))
+    anchors = firsts.filter("head is not null").groupBy("head").agg(F.min("copy_of").alias("anchor_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("head", "anchor_id", F.ceil(F.col("n") / SALT_DOCS).alias("salts"))
+    pairs = cut(firsts.join(anchors, "head").filter("copy_of <> anchor_id").select(F.col("copy_of").alias("doc_id"), "anchor_id", "salts", F.pmod(F.xxhash64("copy_of"), "salts").alias("salt")))
+    leads = cut(pairs.groupBy("anchor_id").agg(F.max("salts").alias("salts")))
     texts = filter_by_ids(known, cut(pairs.select("doc_id")), "doc_id", keep=True)
-    other = filter_by_ids(known, leads, "doc_id", keep=True).select(F.col("doc_id").alias("anchor_id"), F.col("text").alias("other"))
-    found = texts.join(pairs, "doc_id").select("doc_id", "text", "anchor_id").join(other, "anchor_id").select("doc_id", "anchor_id", "text", "other")
+    other = filter_by_ids(known, leads.select(F.col("anchor_id").alias("doc_id")), "doc_id", keep=True).select(F.col("doc_id").alias("anchor_id"), F.col("text").alias("other"))
+    other = other.join(leads, "anchor_id").select("anchor_id", "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
+    found = texts.join(pairs, "doc_id").select("doc_id", "text", "anchor_id", "salt").join(other, ["anchor_id", "salt"]).select("doc_id", "anchor_id", "text", "other")
     found = found.mapInArrow(_extensions, "doc_id bigint, anchor_id bigint, common_prefix bigint, common_suffix bigint")
-    named = prints.join(firsts.drop("head"), ["n_chars", "fingerprint"]).select("doc_id", "n_chars", "fingerprint", "copy_of")
+    named = prints.join(firsts.drop("head"), same).select("doc_id", "n_chars", "fingerprint", "copy_of")
     return docs.select("doc_id").join(named, "doc_id", "left").join(found, "doc_id", "left").select("doc_id", "n_chars", "fingerprint", "copy_of", "anchor_id", "common_prefix", "common_suffix")
 
 
