@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amalgam.operators.components import connected_components
@@ -19,22 +19,25 @@ def near_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ne
 
     First each bucket's members are compared with its least member, and components are made of the pairs that pass. A pair inside a
     component can't change the result any more, so only pairs of one bucket with different components are compared then: all of them.
+
+    * Least members and sizes are aggregated before the shuffle, and all else are equi-joins, whose crowded keys AQE splits; no bucket is collected.
+    * Null ids or keys join nothing. No members, or none that share a bucket: an empty result. Further columns are not read.
     """
     code = ["code"] if near else []
-    bucket = Window.partitionBy("key")
-    least = F.min(F.struct("id", *code)).over(bucket)
-    sized = cut(members.select("id", "key", *code, least.alias("least"), F.count(F.lit(1)).over(bucket).alias("n")).filter("n > 1").drop("n"))
+    buckets = members.groupBy("key").agg(F.min(F.struct("id", *code)).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    sized = cut(members.select("id", "key", *code).join(buckets, "key"))
     star = sized.filter("id <> least.id")
     if near:
         star = star.filter(near(F.col("least.code"), F.col("code")))
     star = cut(star.select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct())
     passed = cut(verify(star))
     first = cut(connected_components(passed, "a", "b"))
-    tagged = sized.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", F.struct("id", *code).alias("x"), F.coalesce("component", "id").alias("label"))
-    groups = tagged.groupBy("key", "label").agg(F.collect_list("x").alias("xs")).withColumn("labels", F.count(F.lit(1)).over(bucket)).filter("labels > 1").drop("labels")
-    left = groups.select("key", F.col("label").alias("la"), F.col("xs").alias("xa"))
-    right = groups.select("key", F.col("label").alias("lb"), F.col("xs").alias("xb"))
-    crossed = left.join(right, "key").filter("la < lb").select(F.explode("xa").alias("p"), "xb").select("p", F.explode("xb").alias("q"))
+    tagged = sized.select("key", F.struct("id", *code).alias("x")).join(first.select(F.col("node").alias("id"), "component"), F.col("x.id") == F.col("id"), "left").select("key", "x", F.coalesce("component", "x.id").alias("label"))
+    labels = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    mixed = cut(tagged.join(labels, "key", "left_semi"))
+    of_bucket = mixed.select("key", "label").distinct()
+    crossed = of_bucket.withColumnRenamed("label", "la").join(of_bucket.withColumnRenamed("label", "lb"), "key").filter("la < lb")
+    crossed = crossed.join(mixed.select("key", F.col("label").alias("la"), F.col("x").alias("p")), ["key", "la"]).join(mixed.select("key", F.col("label").alias("lb"), F.col("x").alias("q")), ["key", "lb"])
     if near:
         crossed = crossed.filter(near(F.col("p.code"), F.col("q.code")))
     crossed = crossed.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
