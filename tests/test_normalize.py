@@ -123,3 +123,21 @@ def test_unknown_format_fails(spark):
     bad = samples.normalized(spark, samples.RIS).withColumn("meta", F.col("meta").withField("source_format", F.lit("pdf")))
     with pytest.raises(Exception, match="unsupported format"):
         normalize(bad).collect()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """Only a local session may leave the checkpoint folder out."""
+    from types import SimpleNamespace
+
+    from amalgam.session import checkpoint_dir
+
+    chosen = []
+    make = lambda master, named=None: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: chosen[-1] if chosen else None, setCheckpointDir=chosen.append), conf=SimpleNamespace(get=lambda key, other: named))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_dir(make(master))
+        assert checkpoint_dir(make(master, "hdfs:///shared")) == "hdfs:///shared"
+        chosen.clear()
+    for master in ("local", "local[*]", "local[8]", "local[4,2]"):
+        assert "amalgam-checkpoint" in checkpoint_dir(make(master))
+        chosen.clear()
