@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from amalgam.llm import cminhash, prefix_hash, suffix_tree, toxicity
+from amalgam.llm.buckets import near_groups
 from amalgam.llm.queries import FURTHER
 from tests.llm import cases
 
@@ -41,6 +43,24 @@ def test_circulant_coordinates():
     assert len(np.unique(c.second(z.copy()))) == len(z) == len(np.unique(c.first(z.astype(np.uint64))))
 
 
+def test_groups_of_a_crowded_bucket(spark):
+    """One key holds half of all rows, and its least member is near to few of them: no pair that passes is lost, whatever order they meet in."""
+    rng = random.Random(13)
+    members = [(i, 0) for i in range(60)] + [(i, 1 + rng.randrange(12)) for i in range(60)]
+    passes = {(a, b) for a in range(60) for b in range(a + 1, 60) if b - a in (7, 31) and a % 5}
+    good = spark.createDataFrame(sorted(passes), "a long, b long")
+    asked = []
+
+    def verify(pairs):
+        asked.append(pairs.collect())
+        return pairs.join(good, ["a", "b"])
+
+    found = {r["node"]: r["component"] for r in near_groups(spark.createDataFrame(members, "id long, key long").withColumn("n", F.lit("own")), verify).collect()}
+    exact = cases.groups_of(range(60), passes)
+    assert all(found.get(i, i) == exact[i] for i in range(60)) and all(a < b for part in asked for a, b in part)
+    assert near_groups(spark.createDataFrame([(1, 2), (None, 2), (3, None), (4, None)], "id long, key long"), verify).count() == 0
+
+
 def test_minhash_odd_cases(spark):
     odd = cases.odd(spark)
     rows = {r["doc_id"]: (r["group_id"], r["keep"]) for r in cminhash.near_duplicate_groups(odd).collect()}
@@ -85,6 +105,28 @@ def test_repeats_against_brute_force(spark, group_rows):
     assert found == brute_repeats(docs, 10)
 
 
+def test_nodes_of_a_suffix_tree():
+    """Depths of the deepest nodes above each leaf, with and without an earlier leaf, against comparing all leaves; for each node of the left trie."""
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n, reach, width = int(rng.integers(3, 14)), 4, 7
+        left, right = rng.integers(0, reach + 1, n), rng.integers(2, width + 1, n)
+        behind = np.where(np.arange(reach) < left[:, None], rng.integers(1, 3, (n, reach)), 0).astype(np.uint64)
+        ahead = np.where(np.arange(width) < right[:, None], rng.integers(1, 3, (n, width)), 0).astype(np.uint64)
+        rank = rng.permutation(n)
+        agree = lambda x, i, j: next((k for k in range(x.shape[1]) if not x[i, k] or x[i, k] != x[j, k]), x.shape[1])
+        best = {(kind, i): set() for kind in ("repeat", "cut") for i in range(n)}
+        for kind, leaves, b, most in suffix_tree.SuffixTree(behind, ahead, left, right).deep_leaves(5, rank):
+            for i, m in zip(leaves.tolist(), most.tolist(), strict=True):
+                best[kind, i].add((b, m))
+        for i in range(n):
+            for kind in ("repeat", "cut"):
+                pairs = [(agree(behind, i, j), agree(ahead, i, j)) for j in range(n) if j != i and (kind == "repeat" or rank[j] < rank[i])]
+                covered = {k for b, m in pairs if b + m >= 5 for k in range(-b, m)}
+                assert {k for b, m in best[kind, i] for k in range(-b, m)} >= covered, "all that a leaf shares is below its nodes"
+                assert all(any(b <= x and m <= y for x, y in pairs) for b, m in best[kind, i]), "and nothing else"
+
+
 def test_cut_leaves_each_passage_once(spark):
     rng = random.Random(3)
     passage = cases.words(rng, 60)
@@ -165,6 +207,21 @@ def test_longest_extensions_against_brute_force(spark, ranges):
     assert "op7_longest_extensions" in FURTHER
 
 
+def test_extensions_of_a_crowded_anchor(spark, monkeypatch):
+    """Half of all documents begin alike; their anchor's text goes to several tasks, and each is compared with it."""
+    monkeypatch.setattr(prefix_hash, "SALT_DOCS", 4)
+    rng = random.Random(17)
+    head = "every one of these documents begins with this line\n"
+    texts = {i: head + cases.words(rng, rng.randrange(3, 12)) for i in range(5, 45)} | {100 + i: cases.words(rng, 15) for i in range(40)}
+    texts |= {200: texts[7], 201: texts[7]}
+    rows = {r["doc_id"]: r for r in prefix_hash.fingerprint_documents(cases.table(spark, list(texts.items())).withColumn("salt", F.lit("own"))).collect()}
+    assert set(rows) == set(texts) and rows[200]["copy_of"] == rows[201]["copy_of"] == 7
+    for i in range(6, 45):
+        n = brute_prefix(texts[i], texts[5])
+        assert rows[i]["anchor_id"] == 5 and rows[i]["common_prefix"] == n
+        assert rows[i]["common_suffix"] == min(brute_prefix(texts[i][::-1], texts[5][::-1]), min(len(texts[i]), len(texts[5])) - n)
+
+
 def test_fingerprints_odd_cases(spark):
     rows = {r["doc_id"]: r for r in prefix_hash.fingerprint_documents(cases.odd(spark)).collect()}
     assert set(rows) == set(range(1, 11)) and rows[1]["fingerprint"] is None and rows[1]["copy_of"] is None
@@ -203,6 +260,17 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.drop_toxic(odd, None).count() == odd.count()
 
 
+def test_windows_are_drawn_from_the_whole_text():
+    """A toxic word far behind many telling ones teaches too, as places are drawn from anywhere."""
+    rng = random.Random(3)
+    texts = [cases.words(rng, 60) + (" vilezz" * 9 + " " + cases.words(rng, 200) + " scumqo" if i % 2 else "") for i in range(300)]
+    model = toxicity.fit(texts, np.arange(300) % 2, toxic_places=5, clean_windows=5, hard_windows=1, vocabulary_size=200)
+    assert max(model.vocabulary.values()) <= 200 and toxicity.fit(["", None, "!!"], np.array([1, 0, 1])) is None
+    fresh = [cases.words(rng, 200), cases.words(rng, 200) + " scumqo", cases.words(rng, 200) + " vilezz"]
+    clean, *bad = [p >= model.threshold for p, _, _ in toxicity.Scorer(model)(fresh)]
+    assert not clean and all(bad)
+
+
 def test_windows_cover_every_word_and_a_late_one_is_found(spark):
     for n in (1, 31, 32, 33, 56, 57, 1000):
         starts = toxicity.window_starts(n)

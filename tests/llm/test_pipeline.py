@@ -54,6 +54,26 @@ def test_stages_in_turn(spark, tmp_path):
     assert sorted(map(str, again)) == sorted(map(str, packed))
 
 
+def test_odd_tables_go_through(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and columns with clashing names, stage by stage; no text with a word is lost but the repeated ones."""
+    odd = cases.odd(spark)
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (6, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "pack":
+            assert docs.columns == odd.columns
+            cases.own_columns_stay(docs)
+        if name in ("toxicity", "near_duplicates", "repeats"):
+            assert docs.filter("doc_id is null").count() == 1 and {1, 2, 3, 4, 5, 6, 7, 8, 10} <= {r["doc_id"] for r in docs.collect()}
+    packed = docs.collect()
+    assert {None, 4, 5, 6, 7, 8, 10} >= {r["doc_id"] for r in packed} >= {5} and len({(r["doc_id"], r["epoch"], r["piece"]) for r in packed}) == len(packed)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
 def test_an_empty_table_goes_through(spark, tmp_path):
     cases.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
