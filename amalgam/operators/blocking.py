@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from amalgam.functions import ids
 from amalgam.functions import keys as K
+from amalgam.functions import text as X
 from amalgam.session import cut, one_row_per_id
 
 PERMUTATIONS, BANDS, MINHASH_TOKENS, MINHASH_SEED = 128, 16, 3, 42
@@ -43,10 +44,10 @@ class Blocker:
 
 
 def _title_tokens() -> Column:
-    shingles = F.col("keys.title_shingles")
+    # each field is named once, so that only what is asked for of keys and flags is computed
     none = F.array().cast("array<string>")
-    tokens = F.when(F.size(shingles) > 0, shingles).otherwise(F.coalesce(K.long_tokens(F.col("canon.title_norm_basic")), none))
-    return F.when(F.coalesce(F.col("flags.title_missing"), F.lit(False)), none).otherwise(tokens)
+    plain = lambda shingles: F.when(F.size(shingles) > 0, shingles).otherwise(F.coalesce(K.long_tokens(F.col("canon.title_norm_basic")), none))
+    return F.when(F.coalesce(F.col("flags.title_missing"), F.lit(False)), none).otherwise(X.let(F.col("keys.title_shingles"), plain))
 
 
 class DoiBlocker(Blocker):

@@ -18,8 +18,8 @@ from amalgam.functions import text as X
 from amalgam.operators import blocking, calibrate, cluster, decide, merge, pairs
 from amalgam.operators.components import connected_components
 from amalgam.operators.normalize import normalize
-from amalgam.schema import CANON, CANON_FIELDS, FLAGS, KEYS, META, RAW
-from amalgam.session import cut
+from amalgam.schema import CANON, CANON_FIELDS, META, RAW
+from amalgam.session import cut, spread
 from amalgam.sinks.ris import to_ris
 from amalgam.sources.files import parse_files
 
@@ -38,7 +38,7 @@ def _query(sql: str | None) -> Callable:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def records_from(df: DataFrame, rid: Column, **canon: Column) -> DataFrame:
@@ -49,7 +49,7 @@ def records_from(df: DataFrame, rid: Column, **canon: Column) -> DataFrame:
     keys = K.matching_keys(c["title_norm_basic"], c["year_norm"], c["first_author_sig"], c["journal_norm"])
     flags = K.quality_flags(c["doi_norm"], c["pmid_norm"], c["title_raw"], c["authors_parsed"], c["year_norm"], F.lit(False), c["publication_type"])
     meta = F.from_json(F.lit('{"source_record_index":0}'), META)
-    return df.select("rid", meta.alias("meta"), "canon", keys.cast(KEYS).alias("keys"), flags.cast(FLAGS).alias("flags"))
+    return df.select("rid", meta.alias("meta"), "canon", keys.alias("keys"), flags.alias("flags"))
 
 
 def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,9 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_DOCS} SELECT doc_id, len(s) AS n_shingles, len(list_distinct(s)) AS n_distinct, md5(array_to_string(s, '|')) AS shingles_md5 FROM s WHERE len(s) > 0")
 def shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _table(spark, sf_dir, "documents").select("doc_id", K.shingles(X.for_matching(F.col("text"))).alias("s")).filter("s is not null")
+    df = _table(spark, sf_dir, "documents").select("doc_id", K.shingles(X.for_matching(F.col("text"))).alias("s"))
+    # a filter isn't pushed below the generator, so the shingles are computed once
+    df = df.select("doc_id", F.explode(F.array("s")).alias("s")).filter("s is not null")
     return df.select("doc_id", F.size("s").cast("bigint").alias("n_shingles"), F.size(F.array_distinct("s")).cast("bigint").alias("n_distinct"), F.md5(F.array_join("s", "|")).alias("shingles_md5"))
 
 

@@ -63,6 +63,15 @@ def filter_by_ids(df: DataFrame, ids: DataFrame, key: str, keep: bool) -> DataFr
     return df.join(side, key, "left_semi" if keep else "left_anti")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, or, where its scan makes far fewer tasks than there are cores (a small file of one row group), the same rows dealt out to all of them.
+
+    Large inputs have more splits than cores and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() <= cores // 2 else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until ``df`` has no such column (in any case of letters)."""
     taken = {c.lower() for c in df.columns}

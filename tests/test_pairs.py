@@ -7,6 +7,7 @@ from amalgam.functions import compare as C
 from amalgam.functions import score as S
 from amalgam.operators import blocking as B
 from amalgam.operators import calibrate, decide, pairs
+from amalgam.session import spread
 from tests import samples
 
 RECORDS = [
@@ -182,3 +183,25 @@ def test_conformal_against_brute_force(spark, seed):
     assert calibrate.final_threshold(0.4, found)[0] == max(0.4, found.t_high_conformal) and calibrate.final_threshold(0.4, None) == (0.4, 0.4, None)
     with pytest.raises(ValueError, match="alpha"):
         calibrate.calibrate_conformal(labelled(spark, rows), 0, 0.1)
+
+
+def test_large_blocks_and_long_records(spark):
+    keys = spark.createDataFrame([(f"r{i}", "big") for i in range(9)] + [("r0", "big"), ("r1", "small"), ("r2", "small")], "rid string, block_key string")
+    assert [tuple(r) for r in B.large_blocks(keys, limit=3).collect()] == [("big", 9)]
+    assert B.block_statistics(keys, keys.select("rid").distinct()).first()["max_block"] == 9
+    tokens = [f"t{i % 300}" for i in range(30_000)]
+    rows = spark.createDataFrame([("long", tokens), ("short", tokens[:300]), ("few", ["a"]), ("none", []), ("null", None)], "rid string, tokens array<string>")
+    bands = {r["rid"]: set() for r in rows.collect()}
+    for r in B.minhash_bands(rows, min_tokens=2).collect():
+        bands[r["rid"]].add(r["block_key"])
+    assert bands["long"] == bands["short"] and len(bands["long"]) == B.BANDS and not bands["few"] | bands["none"] | bands["null"], "a record over several chunks has one signature"
+    hashes = {r["rid"]: r["block_key"] for r in B.simhash_chunks(rows).filter("block_key like 'sh:c0:%'").collect()}
+    assert hashes["long"] == hashes["short"] and set(hashes) == {"long", "short", "few"}
+
+
+def test_few_splits_are_spread(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(8).write.parquet(str(tmp_path / "many"))
+    one, many = (spread(spark.read.option("maxPartitionBytes", "1k").parquet(str(tmp_path / name))) for name in ("one", "many"))
+    assert one.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and one.count() == 1000
+    assert many.count() == 1000
