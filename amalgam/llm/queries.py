@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from amalgam.llm import cminhash, flow_mix, itq, langid, packing, prefix_hash, suffix_tree, toxicity, url_rules, warc_merge
+from amalgam.session import spread
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture histories of all pages."""
-    return warc_merge.merge_captures(warc_merge.page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return warc_merge.merge_captures(warc_merge.page_captures(spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
 
 
 OP1_SQL = r"""

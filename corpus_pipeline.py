@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from amalgam.llm import cminhash, flow_mix, packing, suffix_tree, toxicity
-from amalgam.session import checkpoint_dir, delete
+from amalgam.session import checkpoint_dir, delete, spread
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     What a stage wrote is deleted as soon as the next one has written its own; the last one's files stay, as the result is read from them.
     """
     base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for number, (name, stage) in enumerate(STAGES):
         folder = f"{base}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(folder)

@@ -89,6 +89,8 @@ def test_rules_against_brute_force(spark):
 def test_url_filter_and_odd_cases(spark):
     pages = [(i, f"http://bad.org/p{i}" if i % 2 else f"http://good.org/q/{i}") for i in range(40)] + [(None, "http://bad.org/z"), (41, None), (42, ""), (42, "")]
     df = spark.createDataFrame(pages, "page_id long, url string").withColumn("key", F.lit("own")).withColumn("confidence", F.lit(0))
+    for name in ("tokens", "low", "rule_id", "token", "rarest", "items"):
+        df = df.withColumn(name, F.lit("own"))
     labels = spark.createDataFrame([(i, 0 if i % 2 else 1, None) for i in range(30)] + [(None, 0, 1), (3, None, 1)], "doc_id long, quality int, toxic int")
     rows = url_rules.filter_urls(df, labels, min_confidence=0.8).collect()
     assert len(rows) == len(pages) and all(r["blocked"] == ("bad.org" in (r["url"] or "")) for r in rows)
