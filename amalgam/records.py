@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from amalgam.schema import RECORD, SCHEMA_VERSION, struct_type
 
 #: What stands for a value that a dict doesn't have, where that isn't None; other lists of raw are empty.
-_DEFAULTS = {"schema_version": SCHEMA_VERSION, "rid": "", "record_digest": "", "source_file": "", "source_format": "unknown", "source_record_index": 0, "ingested_at": "", "value_raw_joined": "", "occurrence": 0, "line_start": 0, "line_end": 0}
+_DEFAULTS = {"schema_version": SCHEMA_VERSION, "source_format": "unknown"} | dict.fromkeys("rid record_digest source_file ingested_at value_raw_joined".split(), "")
+_DEFAULTS |= dict.fromkeys("source_record_index occurrence line_start line_end".split(), 0)
 
 
 class Part:

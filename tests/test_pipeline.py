@@ -181,9 +181,10 @@ def test_audit_documents_follow_their_schemas(tmp_path):
     written = json.loads((tmp_path / "run" / "run.json").read_text())
     assert schemas.problems(written, manifest) == [] and all(schemas.problems(e, events) == [] for e in lines(tmp_path / "run" / "events.jsonl"))
     assert schemas.problems(written | {"status": "odd"}, manifest) and schemas.problems({k: v for k, v in written.items() if k != "run_id"}, manifest)
-    good = {"ts": "2024-01-01T00:00:00.0Z", "run_id": "r", "level": "INFO", "event": "stage_started", "stage": "s", "data": {}}
+    good = dict(ts="2024-01-01T00:00:00.0Z", run_id="r", level="INFO", event="stage_started", stage="s", data={})
     assert schemas.problems(good, events) == []
-    for bad in ({"level": "LOUD"}, {"event": "other"}, {"stage": None}, {"ts": "today"}, {"event": "artifact_written", "data": {"path": "p", "sha256": "short"}}, {"event": "run_finished", "data": {"status": "success", "duration_seconds": -1}}):
+    for bad in ({"level": "LOUD"}, {"event": "other"}, {"stage": None}, {"ts": "today"}, {"event": "artifact_written", "data": {"path": "p", "sha256": "short"}}, {"event": "run_finished", "data": dict(status="success", duration_seconds=-1)}):
         assert schemas.problems(good | bad, events), bad
+    schemas.main(str(tmp_path))
     for name, schema in (("log_event", events), ("run_manifest", manifest)):
-        assert json.loads((Path(__file__).parents[1] / "schemas" / f"{name}.schema.json").read_text()) == schema
+        assert json.loads((tmp_path / f"{name}.schema.json").read_text()) == schema
