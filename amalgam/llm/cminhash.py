@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amalgam.llm.buckets import near_groups
-from amalgam.llm.words import WORD, WordHashes, mix64
+from amalgam.llm.words import WORD, WordHashes, mix64, tidy
 from amalgam.session import cut, filter_by_ids, one_row_per_id
 
 #: Words of a shingle, bands, rows of a band, and the least Jaccard similarity of near duplicates.
@@ -73,10 +73,16 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int, seed: int) -> Iterator[pa.RecordBatch]:
     """doc_id, a hash of its word sequence and its band keys, for documents with words."""
     hashes, minhash = WordHashes(), Circulant(bands * rows, seed)
-    for batch in batches:
+    for batch in _slices(batches):
         ids, prints, signatures = [], [], []
         for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             if len(x := shingles(text, hashes, size)):
@@ -91,7 +97,7 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int, s
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in _slices(batches):
         sets = [np.unique(shingles(text, hashes, size)).view(np.int64) for text in batch["text"].to_pylist()]
         ends = np.cumsum([0, *map(len, sets)])
         yield pa.record_batch({"doc_id": batch["doc_id"], "set": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))})
@@ -110,14 +116,14 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, bands:
     * Whole texts at any length. Only doc_id and text are used, so further columns don't matter.
     """
     docs = one_row_per_id(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null"), "doc_id")
-    signed = cut(docs.mapInArrow(lambda it: _sign(it, bands, rows, size, seed), "doc_id bigint, print binary, keys array<bigint>"))
+    signed = cut(docs.mapInArrow(lambda it: tidy(_sign(it, bands, rows, size, seed)), "doc_id bigint, print binary, keys array<bigint>"))
     copies = cut(signed.groupBy("print").agg(F.min("doc_id").alias("first"), F.collect_set("doc_id").alias("all")).filter("size(all) > 1").select("first", F.explode("all").alias("doc_id")).filter("first <> doc_id"))
     distinct = filter_by_ids(signed, copies.select("doc_id"), "doc_id", keep=False)
     members = distinct.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        sets = filter_by_ids(docs, ids, "doc_id", keep=True).mapInArrow(lambda it: _sets(it, size), "doc_id bigint, set array<bigint>")
+        sets = filter_by_ids(docs, ids, "doc_id", keep=True).mapInArrow(lambda it: tidy(_sets(it, size)), "doc_id bigint, set array<bigint>")
         both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
         shared = F.size(F.array_intersect("sa", "sb"))
         return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).filter(F.col("jaccard") >= threshold).select("a", "b")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amalgam.llm.buckets import near_groups
+from amalgam.llm.words import tidy
 from amalgam.operators.components import connected_components
 from amalgam.session import cut, filter_by_ids, one_row_per_id
 
@@ -194,7 +195,7 @@ def _named(units: DataFrame, n: int, dim: int, threshold: float, bits: int, reca
     def near(a: Column, b: Column) -> Column:
         return F.bit_count(a["low"].bitwiseXOR(b["low"])) + F.bit_count(a["high"].bitwiseXOR(b["high"])) <= quantiser.radius
 
-    coded = cut(units.select("vec_id", "v").mapInArrow(encode, "vec_id bigint, print binary, low bigint, high bigint, keys array<bigint>"))
+    coded = cut(units.select("vec_id", "v").mapInArrow(lambda it: tidy(encode(it)), "vec_id bigint, print binary, low bigint, high bigint, keys array<bigint>"))
     firsts = coded.groupBy("print").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     copies = cut(coded.select("print", "vec_id").join(firsts, "print").filter("first <> vec_id").select("first", "vec_id"))
     members = filter_by_ids(coded, copies.select("vec_id"), "vec_id", keep=False).select(F.col("vec_id").alias("id"), F.struct("low", "high").alias("code"), F.explode("keys").alias("key"))
@@ -211,7 +212,7 @@ def _named(units: DataFrame, n: int, dim: int, threshold: float, bits: int, reca
 
     heavy = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key"))
     light = filter_by_ids(members, heavy, "key", keep=False).select("key", "id", "code.low", "code.high").repartition("key").sortWithinPartitions("key")
-    edges = verify(cut(light.mapInArrow(lambda it: _close_pairs(it, quantiser.radius), "a bigint, b bigint").distinct()))
+    edges = verify(cut(light.mapInArrow(lambda it: tidy(_close_pairs(it, quantiser.radius)), "a bigint, b bigint").distinct()))
     if not heavy.isEmpty():
         edges = edges.union(near_groups(filter_by_ids(members, heavy, "key", keep=True), verify, near).filter("node <> component").select("node", "component"))
     groups = cut(connected_components(cut(edges), "a", "b"))

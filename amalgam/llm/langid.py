@@ -10,6 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from amalgam.llm.words import tidy
+
 #: Components of a vector.
 DIM = 1024
 SEED = 4
@@ -131,7 +133,7 @@ def train_profiles(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> tuple[l
     counts = (
         docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
         .dropna()
-        .mapInArrow(_count, "lang string, code bigint, n bigint")
+        .mapInArrow(lambda it: tidy(_count(it)), "lang string, code bigint, n bigint")
         .groupBy("lang", "code")
         .agg(F.sum("n").alias("n"))
     )
@@ -186,4 +188,4 @@ def identify_languages(docs: DataFrame, profiles: tuple[list[str], np.ndarray],
                 names.append(langs[at]), best.append(float(cos[at])), margin.append(float(cos[at] - rest.max()) if len(rest) else float(cos[at]))
             yield pa.record_batch({"doc_id": batch["doc_id"], "lang_pred": pa.array(names, pa.string()), "score": pa.array(best, pa.float64()), "margin": pa.array(margin, pa.float64())})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: tidy(score(it)), SCHEMA)

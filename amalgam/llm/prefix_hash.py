@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from amalgam.llm.words import tidy
 from amalgam.session import cut, filter_by_ids, one_row_per_id
 
 #: The modulus, a Mersenne prime, and the base.
@@ -145,7 +146,7 @@ def fingerprint_documents(docs: DataFrame, anchor: int = ANCHOR) -> DataFrame:
     """
     docs = one_row_per_id(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null"), "doc_id")
     known = docs.filter("text is not null")
-    prints = cut(known.withColumn("print", F.unhex(F.md5("text"))).mapInArrow(lambda it: _fingerprints(it, anchor), "doc_id bigint, print binary, n_chars bigint, fingerprint bigint, head bigint"))
+    prints = cut(known.withColumn("print", F.unhex(F.md5("text"))).mapInArrow(lambda it: tidy(_fingerprints(it, anchor)), "doc_id bigint, print binary, n_chars bigint, fingerprint bigint, head bigint"))
     same = ["n_chars", "fingerprint", "print"]
     firsts = prints.groupBy(*same).agg(F.min("doc_id").alias("copy_of"), F.min("head").alias("head"))
     anchors = firsts.filter("head is not null").groupBy("head").agg(F.min("copy_of").alias("anchor_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("head", "anchor_id", F.ceil(F.col("n") / SALT_DOCS).alias("salts"))
@@ -155,7 +156,7 @@ def fingerprint_documents(docs: DataFrame, anchor: int = ANCHOR) -> DataFrame:
     other = filter_by_ids(known, leads.select(F.col("anchor_id").alias("doc_id")), "doc_id", keep=True).select(F.col("doc_id").alias("anchor_id"), F.col("text").alias("other"))
     other = other.join(leads, "anchor_id").select("anchor_id", "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
     found = texts.join(pairs, "doc_id").select("doc_id", "text", "anchor_id", "salt").join(other, ["anchor_id", "salt"]).select("doc_id", "anchor_id", "text", "other")
-    found = found.mapInArrow(_extensions, "doc_id bigint, anchor_id bigint, common_prefix bigint, common_suffix bigint")
+    found = found.mapInArrow(lambda it: tidy(_extensions(it)), "doc_id bigint, anchor_id bigint, common_prefix bigint, common_suffix bigint")
     named = prints.join(firsts.drop("head"), same).select("doc_id", "n_chars", "fingerprint", "copy_of")
     return docs.select("doc_id").join(named, "doc_id", "left").join(found, "doc_id", "left").select("doc_id", "n_chars", "fingerprint", "copy_of", "anchor_id", "common_prefix", "common_suffix")
 

@@ -26,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from amalgam.llm.words import WordHashes, mix64
+from amalgam.llm.words import WordHashes, mix64, tidy
 from amalgam.session import cut, filter_by_ids, one_row_per_id, unused
 
 #: Words of the shortest passage, and of the run that partitions suffixes first.
 MIN_WORDS, SEED_WORDS = 50, 18
 #: Places that a prefix may have before it is made longer, and places whose trees are grown at once.
-GROUP_ROWS, CHUNK_ROWS = 20_000, 20_000
+GROUP_ROWS, CHUNK_ROWS = 20_000, 10_000
 #: Documents that are hashed at once.
 _DOCS = 512
 
@@ -328,7 +328,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: i
     """
     reach = min_words - seed_words
     docs = one_row_per_id(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna(), "doc_id")
-    seeds = cut(docs.mapInArrow(lambda it: _seeds(it, min_words, seed_words), "doc_id bigint, place int, seed bigint"))
+    seeds = cut(docs.mapInArrow(lambda it: tidy(_seeds(it, min_words, seed_words)), "doc_id bigint, place int, seed bigint"))
     counts = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     place, crowd = F.struct("place", "seed"), F.col("n") > group_rows
     by_doc = cut(seeds.join(counts, "seed").groupBy("doc_id").agg(F.collect_list(F.when(~crowd, place)).alias("some"), F.collect_list(F.when(crowd, place)).alias("crowded")))
@@ -336,7 +336,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: i
     def around(kind: str) -> DataFrame:
         chosen = by_doc.filter(F.size(kind) > 0).select("doc_id", F.col(kind).alias("places"))
         wanted = filter_by_ids(docs, cut(chosen.select("doc_id")), "doc_id", keep=True)
-        return wanted.join(chosen, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it: _contexts(it, min_words, seed_words), PLACE)
+        return wanted.join(chosen, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda it: tidy(_contexts(it, min_words, seed_words)), PLACE)
 
     parts, trees = [], [around("some")]
     if not by_doc.filter(F.size("crowded") > 0).isEmpty():
@@ -350,12 +350,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: i
             trees.append(filter_by_ids(rows, crowded, "key", keep=False))
             if crowded.isEmpty():
                 break
-            longer = cut(filter_by_ids(rows, crowded, "key", keep=True).mapInArrow(lambda it: _longer_prefixes(it, min_words, seed_words), PLACE))
+            longer = cut(filter_by_ids(rows, crowded, "key", keep=True).mapInArrow(lambda it: tidy(_longer_prefixes(it, min_words, seed_words)), PLACE))
             parts.append(_node_spans(_equal_places(longer.filter("low = high").select("key", "low", "doc_id", "place")), "low", f"({min_words} - low)"))
             rows = longer.filter("low < high")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for rows in trees:
-        grown = rows.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lambda it: _trees(it, min_words, seed_words, chunk_rows), SPAN)
+        grown = rows.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lambda it: tidy(_trees(it, min_words, seed_words, chunk_rows)), SPAN)
         parts.append(grown)
     spans = parts[0]
     for part in parts[1:]:
@@ -403,4 +403,4 @@ def cut_repeats(docs: DataFrame, **parameters: int) -> DataFrame:
 
     renamed = cuts.select("doc_id", F.col("starts").alias(starts), F.col("ends").alias(ends))
     joined = filter_by_ids(docs, ids, "doc_id", keep=True).join(renamed, "doc_id").select(*docs.columns, starts, ends)
-    return whole.unionByName(joined.mapInArrow(shorten, docs.schema))
+    return whole.unionByName(joined.mapInArrow(lambda it: tidy(shorten(it)), docs.schema))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 WORD = re.compile(r"\w+")
 #: Hashes of words that a worker keeps.
-KEPT = 400_000
+KEPT = 150_000
 
 
 class WordHashes(dict):
@@ -33,3 +36,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; after the last one, memory that the task freed goes back to the system, as workers live on while others need it."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
