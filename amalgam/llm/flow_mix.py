@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections import deque
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +21,6 @@ ALPHA, BUDGET = 0.8, 1.0
 SEED = 5
 #: Documents of a pattern's hash range on average; each range is put in order by itself.
 RANGE_DOCS = 50_000
-#: Membership patterns that the driver works on at most besides the single components. A document of a rarer pattern counts as a member of its first component.
-MAX_PATTERNS = 20_000
 
 
 class MixFlow:
@@ -29,71 +31,77 @@ class MixFlow:
     paths of a phase are those that begin with that pass, and a blocking flow (Dinic) exhausts them.
     """
 
-    def __init__(self, tokens: list[int], members: list[list[int]], quotas: list[int], costs: tuple[int, ...] = COSTS) -> None:
-        self.patterns, self.costs = len(tokens), costs
-        self.sink = 1 + len(tokens) + len(quotas)
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.arcs: list[list[int]] = [[] for _ in range(self.sink + 1)]
-        self.offer = [self._arc(0, 1 + p, 0) for p in range(len(tokens))]
-        self.feed = [(p, c, self._arc(1 + p, 1 + len(tokens) + c, sum(tokens) * len(costs))) for p, own in enumerate(members) for c in own]
-        for c, quota in enumerate(quotas):
-            self._arc(1 + len(tokens) + c, self.sink, quota)
+    def __init__(self, tokens: Sequence[int], members: Sequence[Sequence[int]], quotas: Sequence[int], costs: tuple[int, ...] = COSTS) -> None:
+        n, sizes = len(tokens), np.fromiter(map(len, members), np.int64, len(members))
+        self.patterns, self.costs, self.sink = n, costs, 1 + n + len(quotas)
+        self.pattern = np.repeat(np.arange(n), sizes)
+        self.component = np.fromiter((c for own in members for c in own), np.int64, len(self.pattern))
+        # arcs from the source to patterns, to components, to the sink; each has its reverse beside it
+        tails = np.r_[np.zeros(n, np.int64), 1 + self.pattern, 1 + n + np.arange(len(quotas))]
+        heads = np.r_[1 + np.arange(n), 1 + n + self.component, np.full(len(quotas), self.sink)]
+        room = np.r_[np.zeros(n, np.int64), np.full(len(self.pattern), sum(tokens) * len(costs), np.int64), np.asarray(quotas, np.int64)]
+        ends = np.stack([heads, tails], 1).ravel()
+        begins = np.stack([tails, heads], 1).ravel()
+        # compact, as there may be many patterns: the arcs of node x are arcs[first[x]:first[x + 1]]
+        self.to, self.room = array("q", ends.tobytes()), array("q", np.stack([room, np.zeros_like(room)], 1).tobytes())
+        self.arcs = array("q", np.argsort(begins, kind="stable").tobytes())
+        self.first = array("q", np.r_[0, np.cumsum(np.bincount(begins, minlength=self.sink + 1))].tobytes())
+        del tails, heads, room, ends, begins
         self.cost = self.amount = 0
         for cost in costs:
-            for p, arc in enumerate(self.offer):
-                self.room[arc] += tokens[p]
+            for p in range(n):
+                self.room[2 * p] += tokens[p]
             moved = self._augment()
             self.amount += moved
             self.cost += cost * moved
 
-    def _arc(self, a: int, b: int, room: int) -> int:
-        for x, y, r in ((a, b, room), (b, a, 0)):
-            self.arcs[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-        return len(self.to) - 2
-
     def _augment(self) -> int:
+        to, room, arcs, first = self.to, self.room, self.arcs, self.first
         total = 0
         while True:
-            level = [-1] * (self.sink + 1)
+            level = array("q", [-1]) * (self.sink + 1)
             level[0] = 0
             queue = deque([0])
             while queue:
                 x = queue.popleft()
-                for arc in self.arcs[x]:
-                    if self.room[arc] and level[y := self.to[arc]] < 0:
+                for k in range(first[x], first[x + 1]):
+                    if room[arc := arcs[k]] and level[y := to[arc]] < 0:
                         level[y] = level[x] + 1
                         queue.append(y)
             if level[self.sink] < 0:
                 return total
-            at, path, x = [0] * (self.sink + 1), [], 0
+            at, path, x = first[:-1], [], 0
             while True:
                 if x == self.sink:
-                    least = min(self.room[arc] for arc in path)
+                    least = min(room[arc] for arc in path)
                     for arc in path:
-                        self.room[arc] -= least
-                        self.room[arc ^ 1] += least
+                        room[arc] -= least
+                        room[arc ^ 1] += least
                     total += least
-                    full = next(i for i, arc in enumerate(path) if not self.room[arc])
-                    x = self.to[path[full] ^ 1]
+                    full = next(i for i, arc in enumerate(path) if not room[arc])
+                    x = to[path[full] ^ 1]
                     del path[full:]
-                own = self.arcs[x]
-                while at[x] < len(own) and not (self.room[own[at[x]]] and level[self.to[own[at[x]]]] == level[x] + 1):
+                end = first[x + 1]
+                while at[x] < end and not (room[arcs[at[x]]] and level[to[arcs[at[x]]]] == level[x] + 1):
                     at[x] += 1
-                if at[x] < len(own):
-                    path.append(own[at[x]])
-                    x = self.to[own[at[x]]]
+                if at[x] < end:
+                    path.append(arcs[at[x]])
+                    x = to[path[-1]]
                 elif path:
-                    x = self.to[path.pop() ^ 1]
+                    x = to[path.pop() ^ 1]
                     at[x] += 1
                 else:
                     break
 
+    def used(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pattern, component and tokens of each arc in use, in order of patterns."""
+        flow = np.frombuffer(self.room, np.int64)[2 * self.patterns + 1 :: 2][: len(self.pattern)]
+        there = np.flatnonzero(flow)
+        return self.pattern[there], self.component[there], flow[there]
+
     def flows(self) -> list[tuple[int, int, int]]:
-        """Pattern, component and tokens of each arc in use."""
-        return [(p, c, self.room[arc ^ 1]) for p, c, arc in self.feed if self.room[arc ^ 1]]
+        """``used`` as a list."""
+        return list(zip(*(x.tolist() for x in self.used()), strict=True))
 
 
 def quotas(available: dict[str, int], budget: int, weights: dict[str, float] | None = None, alpha: float = ALPHA) -> dict[str, int]:
@@ -130,29 +138,20 @@ def _taken(docs: DataFrame, weights: dict[str, float] | None, budget: float, cos
         .select("unit", "doc_id", "n_tokens", F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("other:"))).alias("members"), F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "print")).otherwise(F.xxhash64(F.lit(seed), "doc_id")).alias("h"))
         .withColumn("pattern", F.array_join("members", "\x1f"))
     )
-    units = _without_rare_patterns(units)
     bits = max(6, math.ceil(math.log2(max(1, units.count() / RANGE_DOCS))))
     units = units.withColumn("range", F.shiftright("h", 64 - bits))
     ranges = cut(units.groupBy("pattern", "range").agg(F.sum("n_tokens").alias("tokens")))
-    patterns = sorted((r["pattern"], r["tokens"]) for r in ranges.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).collect())
-    members = [p.split("\x1f") for p, _ in patterns]
+    table = ranges.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).toArrow().sort_by("pattern")
+    tokens = array("q", table["tokens"].to_numpy().tobytes())
     available: dict[str, int] = {}
-    for (_, tokens), own in zip(patterns, members, strict=True):
+    for own, n in zip(_members(table), tokens, strict=True):
         for c in own:
-            available[c] = available.get(c, 0) + tokens
+            available[c] = available.get(c, 0) + n
     components = sorted(available)
-    total = sum(t for _, t in patterns)
-    quota = quotas({c: available[c] for c in components}, int(total * budget), weights, alpha)
+    quota = quotas({c: available[c] for c in components}, int(sum(tokens) * budget), weights, alpha)
     number = {c: i for i, c in enumerate(components)}
-    flow = MixFlow([t for _, t in patterns], [[number[c] for c in own] for own in members], [quota[c] for c in components], costs)
-    slices: dict[int, list[tuple[str, int, int]]] = {}
-    for p, c, amount in flow.flows():
-        low = slices[p][-1][2] if p in slices else 0
-        slices.setdefault(p, []).append((components[c], low, low + amount))
-    plan = spark.createDataFrame(
-        [(patterns[p][0], patterns[p][1], -(-own[-1][2] // patterns[p][1]), own) for p, own in slices.items()],
-        "pattern string, capacity bigint, epochs bigint, slices array<struct<component:string,low:bigint,high:bigint>>",
-    )
+    flow = MixFlow(tokens, [tuple(number[c] for c in own) for own in _members(table)], [quota[c] for c in components], costs)
+    plan = spark.createDataFrame(_plan(table, components, *flow.used()))
     before = ranges.select("pattern", "range", (F.sum("tokens").over(Window.partitionBy("pattern").orderBy("range")) - F.col("tokens")).alias("before"))
     inside = Window.partitionBy("pattern", "range").orderBy("h", "unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = (
@@ -166,14 +165,28 @@ def _taken(docs: DataFrame, weights: dict[str, float] | None, budget: float, cos
     return found.filter("slice is not null").select("unit", "doc_id", F.col("epoch").cast("int").alias("epoch"), F.col("slice.component").alias("component"), "n_tokens")
 
 
-def _without_rare_patterns(units: DataFrame) -> DataFrame:
-    """``units`` with at most ``MAX_PATTERNS`` patterns of several components, those of the most tokens; others become their first component."""
-    several = units.filter(F.size("members") > 1).groupBy("pattern").agg(F.sum("n_tokens").alias("tokens"))
-    if several.count() <= MAX_PATTERNS:
-        return units
-    common = F.broadcast(cut(several.orderBy(F.desc("tokens"), "pattern").limit(MAX_PATTERNS).select("pattern", F.lit(True).alias("common"))))
-    stays = (F.size("members") == 1) | F.coalesce("common", F.lit(False))
-    return units.join(common, "pattern", "left").withColumn("pattern", F.when(stays, F.col("pattern")).otherwise(F.col("members")[0])).drop("common")
+def _members(table: pa.Table) -> Iterator[list[str]]:
+    for batch in table.select(["pattern"]).to_batches(10_000):
+        for pattern in batch["pattern"].to_pylist():
+            yield pattern.split("\x1f")
+
+
+def _plan(table: pa.Table, components: list[str], pattern: np.ndarray, component: np.ndarray, amount: np.ndarray) -> pa.Table:
+    """For each pattern in use its tokens, how many passes it takes, and the components' slices of its tokens, laid end to end."""
+    starts = np.flatnonzero(np.r_[True, pattern[1:] != pattern[:-1]][: len(pattern)])
+    sizes = np.diff(np.r_[starts, len(pattern)])
+    high = np.cumsum(amount)
+    high -= np.repeat(high[starts] - amount[starts], sizes)
+    capacity = table["tokens"].to_numpy()[pattern[starts]]
+    slices = pa.StructArray.from_arrays([pa.array(components, pa.string()).take(pa.array(component)), pa.array(high - amount), pa.array(high)], ["component", "low", "high"])
+    return pa.table(
+        {
+            "pattern": table["pattern"].take(pa.array(pattern[starts])),
+            "capacity": capacity,
+            "epochs": -(-high[starts + sizes - 1] // capacity),
+            "slices": pa.ListArray.from_arrays(pa.array(np.r_[starts, len(pattern)], pa.int32()), slices),
+        }
+    )
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = BUDGET, costs: tuple[int, ...] = COSTS, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:

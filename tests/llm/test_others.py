@@ -278,11 +278,18 @@ def test_selection_against_brute_force(spark, weights):
     assert taken == sum((Counter({(doc, n): k}) for (doc, _, _, n), k in want.items()), Counter())
 
 
-def test_rare_patterns_count_with_their_first_component(spark, monkeypatch):
-    monkeypatch.setattr(flow_mix, "MAX_PATTERNS", 1)
+def test_every_pattern_keeps_all_its_components(spark):
     docs = [(i, t, "en", s) for i, (t, s) in enumerate([("a b c", "x"), ("a b c", "y"), ("d e", "y"), ("d e", "z"), ("f", "z")])]
     rows = flow_mix.mix(cases.table(spark, docs)).collect()
-    assert {r["doc_id"] for r in rows} <= {0, 2, 4} and {r["component"] for r in rows if r["doc_id"] == 2} <= {"source:y"}
+    assert {(r["doc_id"], r["epoch"], r["component"]) for r in rows} == {(0, 0, "source:x"), (2, 0, "source:z"), (4, 0, "source:z")}
+
+
+def test_more_patterns_than_were_once_kept(spark):
+    """Each text is also in a source that takes nothing; it has to be taken by its other source, which has room for it alone."""
+    n = 20_100
+    docs = [(i, f"w{i}", "en", s) for i in range(n) for s in ("a", f"b{i}")]
+    rows = flow_mix.mix(cases.table(spark, docs), {f"source:b{i}": 1 for i in range(n)}).collect()
+    assert sorted((r["doc_id"], r["epoch"], r["component"]) for r in rows) == [(i, 0, f"source:b{i}") for i in range(n)]
 
 
 def test_mix_odd_cases(spark):
