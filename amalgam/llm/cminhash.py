@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amalgam.llm.buckets import near_groups
-from amalgam.llm.words import WORD, WordHashes, mix64, tidy
+from amalgam.llm.words import mix64, tidy, word_hashes
 from amalgam.session import cut, filter_by_ids, one_row_per_id
 
 #: Words of a shingle, bands, rows of a band, and the least Jaccard similarity of near duplicates.
@@ -20,12 +20,10 @@ SEED = 9
 _CHUNK = 1024
 
 
-def shingles(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
-    """Hashes of the runs of ``size`` lower-cased words, repeats included; of a shorter text the one run it has; nothing without words."""
-    words = WORD.findall(text.lower()) if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes.of(words)
+def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the runs of ``size`` words, of which ``h`` has the hashes, repeats included; of a shorter text the one run it has; nothing without words."""
+    if not len(h):
+        return h
     run = min(size, len(h))
     out = h[: len(h) - run + 1].copy()
     for i in range(1, run):
@@ -81,11 +79,11 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.
 
 def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int, seed: int) -> Iterator[pa.RecordBatch]:
     """doc_id, a hash of its word sequence and its band keys, for documents with words."""
-    hashes, minhash = WordHashes(), Circulant(bands * rows, seed)
+    minhash = Circulant(bands * rows, seed)
     for batch in _slices(batches):
         ids, prints, signatures = [], [], []
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            if len(x := shingles(text, hashes, size)):
+        for doc, words in zip(batch["doc_id"].to_pylist(), word_hashes(batch["text"]), strict=True):
+            if len(x := shingles(words, size)):
                 ids.append(doc)
                 prints.append(xxhash.xxh128_digest(x.tobytes()))
                 signatures.append(minhash.signature(x))
@@ -96,9 +94,8 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int, s
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in _slices(batches):
-        sets = [np.unique(shingles(text, hashes, size)).view(np.int64) for text in batch["text"].to_pylist()]
+        sets = [np.unique(shingles(words, size)).view(np.int64) for words in word_hashes(batch["text"])]
         ends = np.cumsum([0, *map(len, sets)])
         yield pa.record_batch({"doc_id": batch["doc_id"], "set": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))})
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from amalgam.llm.words import count_tokens
 from amalgam.session import cut, one_row_per_id, unused
 
 #: Passes over a document at most, and the cost of a token in each pass: convex, so that a further pass costs more than the last.
@@ -130,7 +131,7 @@ def _taken(docs: DataFrame, weights: dict[str, float] | None, budget: float, cos
     if any(c.startswith("lang:") for c in weights or ()):
         names = F.concat(names, F.transform(F.array_sort("langs"), lambda s: F.concat(F.lit("lang:"), s)))
     units = cut(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(text)).alias("print"), F.regexp_count(text, F.lit(r"\S+")).cast("bigint").alias("n_tokens"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(text)).alias("print"), count_tokens(text).alias("n_tokens"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
         .filter("n_tokens > 0")
         .groupBy("print")
         .agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.collect_set("source").alias("sources"), F.collect_set("lang").alias("langs"))

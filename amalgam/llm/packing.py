@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from amalgam.llm.words import count_tokens
 from amalgam.session import cut
 
 #: Tokens of a training sequence.
@@ -97,7 +98,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int =
     if capacity < 1 or group_docs < 1:
         raise ValueError("capacity and group_docs must be positive")
     doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
-    sized = docs.select(doc_id.alias("doc_id"), F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(doc_id).alias("same"), F.regexp_count(text, F.lit(r"\S+")).cast("bigint").alias("n")).filter("n > 0").withColumn("salt", F.spark_partition_id() % _SALTS)
+    sized = docs.select(doc_id.alias("doc_id"), F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(doc_id).alias("same"), count_tokens(text).alias("n")).filter("n > 0").withColumn("salt", F.spark_partition_id() % _SALTS)
     # equal rows are counted, not shuffled one by one; then their numbers are dealt out in parts
     counted = cut(sized.groupBy("doc_id", "same", "n", "salt").agg(F.count(F.lit(1)).alias("rows")))
     groups = max(1, -(-int(counted.agg(F.sum("rows")).first()[0] or 0) // group_docs))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from amalgam.llm.words import WordHashes, mix64, tidy
+from amalgam.llm.words import mix64, tidy, token_hashes
 from amalgam.session import cut, filter_by_ids, one_row_per_id, unused
 
 #: Words of the shortest passage, and of the run that partitions suffixes first.
@@ -77,11 +77,11 @@ def lightest_runs(h: np.ndarray, powers: Powers, min_words: int = MIN_WORDS, see
 
 
 def _seeds(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -> Iterator[pa.RecordBatch]:
-    hashes, powers = WordHashes(), Powers()
+    powers = Powers()
     for batch in (whole.slice(at, _DOCS) for whole in batches for at in range(0, len(whole), _DOCS)):
         ids, places, runs = [], [], []
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            at, run = lightest_runs(hashes.of(TOKEN.findall(text)), powers, min_words, seed_words)
+        for doc, h in zip(batch["doc_id"].to_pylist(), token_hashes(batch["text"]), strict=True):
+            at, run = lightest_runs(h, powers, min_words, seed_words)
             ids.append(np.full(len(at), doc, np.int64)), places.append(at), runs.append(run)
         if ids:
             yield pa.record_batch({"doc_id": np.concatenate(ids), "place": np.concatenate(places).astype(np.int32), "seed": np.concatenate(runs).view(np.int64)})
@@ -101,11 +101,10 @@ def _matrix(context: pa.BinaryArray) -> np.ndarray:
 
 def _contexts(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -> Iterator[pa.RecordBatch]:
     """For each place of a shared run: the words around it that a window over it can have, as 64-bit hashes, and how many there are on both sides."""
-    hashes, reach = WordHashes(), min_words - seed_words
+    reach = min_words - seed_words
     for batch in (whole.slice(at, 64) for whole in batches for at in range(0, len(whole), 64)):
         rows = []
-        for doc, text, found in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["places"], strict=True):
-            h = hashes.of(TOKEN.findall(text))
+        for doc, h, found in zip(batch["doc_id"].to_pylist(), token_hashes(batch["text"]), batch["places"], strict=True):
             place, seed = (found.values.field(name).to_numpy() for name in ("place", "seed"))
             padded = np.concatenate([np.zeros(reach, np.uint64), h, np.zeros(min_words, np.uint64)])
             around = np.lib.stride_tricks.sliding_window_view(padded, reach + min_words)[place]

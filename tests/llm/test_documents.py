@@ -1,12 +1,15 @@
 """Operators over documents that remove or mark: toxicity, near duplicates, repeats, fingerprints."""
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from amalgam.llm import cminhash, prefix_hash, suffix_tree, toxicity
+from amalgam.llm import cminhash, prefix_hash, suffix_tree, toxicity, words
 from amalgam.llm.buckets import near_groups
 from amalgam.llm.queries import FURTHER
 from tests.llm import cases
@@ -292,3 +295,18 @@ def test_gradients():
             losses.append(toxicity.gradients(w, vocab, trigrams, counts, index, y)[0])
             w[name][at] -= sign * step
         assert (losses[0] - losses[1]) / (2 * step) == pytest.approx(g[name][at], rel=0.05), name
+
+
+def test_words_of_many_texts_at_once(spark):
+    """Hashes and counts of whole batches are those of the words one by one, whatever the characters and lengths."""
+    rng = random.Random(31)
+    signs = ["a", "B", "é", "_", "9", " ", "\n", "\t", "\x0b", "\x1c", "\u00a0", "\u2028", "😀", "ʰ", "中", "-", "\x00"]
+    texts = [None, "", " ", "İSTANBUL ΣΑΣ Σ", "a\u0301b", *("x" * n + " y" for n in range(1, 70))]
+    texts += ["".join(rng.choices(signs, k=rng.randrange(200))) for _ in range(300)]
+    array = pa.array(["cut off", *texts])[1:]
+    for found, pattern in ((words.word_hashes(array), r"\w+"), (words.token_hashes(array), r"[^ \t\n\r\f]+")):
+        for text, hashes in zip(texts, found, strict=True):
+            text = (text or "").lower() if pattern == r"\w+" else text or ""
+            assert hashes.tolist() == [xxhash.xxh64_intdigest(w) for w in re.findall(pattern, text)], text
+    counted = cases.table(spark, list(enumerate(texts))).select(words.count_tokens(F.col("text")).alias("n"), F.regexp_count("text", F.lit(r"\S+")).alias("want")).collect()
+    assert len(counted) == len(texts) and all(r["n"] == r["want"] for r in counted)
