@@ -61,3 +61,10 @@ def test_the_greatest_and_least_hashes_are_reduced(spark):
     for x in (0, 1, (1 << 28) - 1):
         v = x * a + b
         assert int(((v & np.uint64(B._PRIME)) + (v >> np.uint64(31))).max()) < 2 * B._PRIME
+
+
+def test_digests_are_read_from_any_slice():
+    tokens = pa.array(["zero", "", "é ü", "a" * 300, "last"])
+    want = lambda salt, n, part: [int(hashlib.sha256((salt + t).encode()).hexdigest()[:n], 16) for t in part.to_pylist()]
+    for part in (tokens, tokens.slice(1, 3), tokens.slice(2), pa.array([""]), tokens.slice(0, 0)):
+        assert B._digests(part, "0:", 16).tolist() == want("0:", 16, part) and B._digests(part, "", 7).tolist() == want("", 7, part)
